@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary import id_digests
 from .common import read_table
 from .sharding import shard_documents
+from .simhash import near_components
 
 
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_digests(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end=2)
+
+
+def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
