@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .binary import id_digests
 from .common import read_table
+from .packing import pack
 from .sharding import shard_documents
 from .simhash import near_components
 
@@ -16,6 +18,10 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op7_dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end=2)
 
