@@ -24,8 +24,11 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end: int, spaced: bool, n
     """A zstandard dictionary from serialized ids of ``n`` documents at most, those lowest in hash order, and of at
     most ``ids`` ids of each. Only this bounded sample reaches the driver. Too little to train on gives the sample's
     own bytes as a raw dictionary (empty for an empty table): documents are stored whole in any case."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n)
-    short = token_ids(sample, vocabulary, end, spaced).select(F.substring("ids", 1, ids * BYTES).alias("ids"))
+    rank = F.xxhash64("doc_id")
+    # hashes alone are sorted; of the texts only the sample's are read
+    last = docs.select(rank.alias("rank")).orderBy("rank").limit(n).agg(F.max("rank")).first()[0]
+    sample = docs.select("doc_id", "text").filter(rank <= F.lit(last))
+    short = token_ids(sample, vocabulary, end, spaced).select(F.substring("ids", 1, ids * BYTES).alias("ids")).limit(2 * n)
     rows = sorted(bytes(r[0]) for r in short.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows, threads=0).as_bytes()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: The characters that the tokenizers' patterns count as white space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Punctuation that may end a unit; an apostrophe is not among it.
+ENDS = ".,!?;:#$%&*|)"
 BYTES = 2  # of an id as it is stored; both vocabularies have under 65,536 ids
 
 
@@ -19,11 +23,11 @@ class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Neither tokenizer merges across a change from other characters to white space (one leading space belongs to the
-    word), so a text's ids are those of its units in turn. Words repeat, so the ids of units are kept, up to ``room``
-    of them; the rest are encoded with their batch. ``room`` bounds memory and changes no result.
+    word), so a text's ids are those of its units in turn. Units repeat, so the ids of up to ``room`` units and twice
+    as many unit cores are kept; the rest are encoded with their batch. ``room`` bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 400_000):
+    def __init__(self, path: str, spaced: bool, room: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -31,6 +35,11 @@ class WordEncoder:
         self.units = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
         self.spaced, self.room = spaced, room
         self.kept: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+        # the byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for U+0100 and on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: 0x100 + i for i, b in enumerate(others)}
 
     def split(self, text: str) -> list[str]:
         if self.spaced:
@@ -38,32 +47,52 @@ class WordEncoder:
         # white space is dropped: plain spaces and line feeds part units, and units hold any other white space
         return text.replace("\n", " ").split(" ")
 
+    def core_ids(self, cores: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Latin-1 letters, after a space or not, are one word in both patterns and need no normal form but lower
+        case, so the merges alone are asked for; other cores take the whole tokenizer."""
+        model, slow = self.tokenizer.model, []
+        for w in cores:
+            word = w[1:] if self.spaced and w[0] == " " else w
+            if word.isascii() and word.isalpha():
+                piece = "\u0120" + word if word is not w else word
+            elif word.isalpha() and max(word) <= "\u00ff":
+                piece = w.encode().decode("latin-1").translate(self.alphabet)
+            else:
+                slow.append(w)
+                continue
+            yield w, array("H", [t.id for t in model.tokenize(piece)]).tobytes()
+        for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)):
+            yield w, array("H", e.ids).tobytes()
+
     def missing(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new units; final full stops, commas and exclamation marks are apart from a letter before them in
-        both tokenizers, so they are looked up apart."""
-        out, parts = {}, {}
+        """Ids of new units. Punctuation after a letter is apart from it in both patterns, so a unit's end is looked up
+        apart from its core."""
+        parts, lower = {}, not self.spaced
         for w in words:
-            core = w.rstrip(".,!")
-            parts[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
-        need = list({x for p in parts.values() for x in p if x and x not in self.kept})
-        got = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False))}
-        got[""] = b""
-        for w, (core, tail) in parts.items():
-            out[w] = (got[core] if core in got else self.kept[core]) + (got[tail] if tail in got else self.kept[tail])
+            core = w.rstrip(ENDS)
+            if not core or not core[-1].isalpha():
+                core = w
+            # other letters' lower case is the tokenizer's to find, but for Latin-1 both agree
+            key = core.lower() if lower and (core.isascii() or core.isalpha() and max(core) <= "\u00ff") else core
+            parts[w] = key, w[len(core) :]
+        cores = self.cores
+        got = dict(self.core_ids([x for x in set(chain.from_iterable(parts.values())) if x not in cores]))
+        out = {w: (got[a] if a in got else cores[a]) + (got[b] if b in got else cores[b]) for w, (a, b) in parts.items()}
         if len(self.kept) < self.room:
             self.kept.update(out)
-            self.kept.update(got)
+        if len(cores) < 2 * self.room:
+            cores.update(got)
         return out
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and ``end``, as little-endian unsigned 16-bit integers."""
-        kept, stop = self.kept, np.array([end], "<u2").tobytes()
+        stop = np.array([end], "<u2").tobytes()
         split = [self.split(t) if t else [] for t in texts]
-        new = set().union(*split).difference(kept)
-        if new:
-            found = self.missing(new)
-            return [b"".join([found[w] if w in found else kept[w] for w in words]) + stop for words in split]
-        return [b"".join([kept[w] for w in words]) + stop for words in split]
+        # the few ids that this batch needs lie closer together in memory than all that are kept
+        words, kept = set().union(*split), self.kept
+        ids = {w: kept[w] for w in words if w in kept}
+        ids.update(self.missing(words.difference(ids)))
+        return [b"".join(map(ids.__getitem__, x)) + stop for x in split]
 
 
 @lru_cache(maxsize=2)
