@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .binary import id_digests
 from .common import read_table
+from .flac import media_digests
 from .packing import pack
 from .sharding import shard_documents
 from .simhash import near_components
@@ -18,6 +19,10 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
