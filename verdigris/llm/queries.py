@@ -11,6 +11,7 @@ from .binary import id_digests
 from .common import read_table
 from .flac import media_digests
 from .packing import pack
+from .quality import quality
 from .sharding import shard_documents
 from .simhash import near_components
 
@@ -35,6 +36,10 @@ def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
