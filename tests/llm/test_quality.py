@@ -36,8 +36,8 @@ def test_outliers_of_their_group_go(spark):
     from verdigris.llm.quality import quality
 
     data = [(i, cases.prose(i, 150), ["en", None][i % 2], ["s0", None][i // 2 % 2], 1) for i in range(200)]
-    data += [(1000 + i, cases.prose(500 + i, 150).replace(" ", "### "), "en", "s0", 1) for i in range(30)]
-    data += [(2000 + i, cases.prose(700 + i, 150).upper(), None, None, 1) for i in range(10)]
+    data += [(1000 + i, cases.prose(500 + i, 150).replace(" ", "### "), "en", "s0", 1) for i in range(12)]
+    data += [(2000 + i, cases.prose(700 + i, 150).upper(), None, None, 1) for i in range(9)]
     kept = {r.doc_id: r.kept for r in quality(cases.table(spark, data)).collect()}
     assert all(kept[i] for i in range(200)) and not any(v for k, v in kept.items() if k >= 1000)
 

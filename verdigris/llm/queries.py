@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .binary import id_digests
 from .common import read_table
 from .flac import media_digests
+from .mixing import rates
 from .packing import pack
 from .quality import quality
 from .sharding import shard_documents
 from .simhash import near_components
+from .toxicity import toxicity
 
 
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,14 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end=2)
 
