@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: White space between words, and the characters that count as symbols.
 SPACE, SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -141,10 +141,25 @@ def quality(docs: DataFrame) -> DataFrame:
     that pass the base rules. Null and empty texts have no words and fail. Null languages and sources are groups of
     their own. Repeated rows count as often as they are there; an empty table gives none; other columns are not read.
     """
-    stats = statistics(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "lang", "source"])
+    return judged(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def judged(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``quality`` for every row, with the columns ``names``, lang and source."""
+    keep = [*names, "lang", "source"]
+    stats = statistics(docs.select(*keep, "text"), keep)
     stats = stats.withColumn("base_failed", base_failed()).withColumns(transformed())
-    stats = materialize(stats.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), "statistics")
-    return verdicts(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return verdicts(materialize(stats.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS), "statistics"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    (t,) = fresh(docs.columns, "_text_hash")
+    good = judged(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias(t)), ["doc_id", t]).filter("kept")
+    on = ["doc_id", "lang", "source"]
+    good = good.select(F.col(t).alias("_t"), *[F.col(c).alias(f"_of_{c}") for c in on]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return docs.withColumn(t, F.xxhash64("text")).join(good, [F.col(t) == F.col("_t"), *same], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def verdicts(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .binary import id_digests
 from .common import read_table
 from .flac import media_digests
+from .linededup import dedup_lines
 from .mixing import rates
 from .packing import pack
 from .quality import quality
@@ -18,6 +19,19 @@ from .simhash import near_components
 from .toxicity import toxicity
 
 
+#: Lines that an equal line, or from 24 bytes on one within two edits of bytes, precedes by (doc_id, line number).
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, pos, line, octet_length(encode(line)) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(trim(line, E' \t\n\x0b\x0c\r')) > 0),
+c AS (SELECT line, n, min((doc_id, pos)) AS first FROM l GROUP BY line, n),
+near AS (SELECT a.line, min(b.first) AS before FROM c a JOIN c b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.first > b.first AND a.n >= 24 AND b.n >= 24 AND levenshtein(a.line, b.line) <= 2 GROUP BY a.line),
+f AS (SELECT l.doc_id, l.pos, (l.doc_id, l.pos) > c.first AS eq, coalesce((l.doc_id, l.pos) > near.before, false) AS nr FROM l JOIN c USING (line) LEFT JOIN near USING (line)),
+g AS (SELECT doc_id, list(pos) FILTER (eq OR nr) AS gone, count(*) FILTER (eq) AS n_equal, count(*) FILTER (nr AND NOT eq) AS n_near FROM f GROUP BY doc_id),
+k AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS parts, coalesce(g.gone, []) AS gone, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near FROM documents d LEFT JOIN g USING (doc_id)),
+t AS (SELECT *, coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') AS kept FROM k)
+SELECT doc_id, coalesce(len(parts), 0) AS n_lines, n_equal, n_near, octet_length(encode(kept)) AS n_kept_bytes, sha256(kept) AS kept_sha256 FROM t
+"""
+
+
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,11 @@ def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_segment_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_equal", "n_near", F.octet_length(kept).cast("long").alias("n_kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"))
 
@@ -55,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_segment_edit_lines": OP9_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -35,16 +35,17 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", width: int = 4, seed: int = 42) -> DataFrame:
-    """``key`` and ``fingerprint`` (the 64 bits as a signed long) of every whole text. Null and empty texts: 0."""
-    schema = f"{key} {dict(docs.dtypes)[key]}, fingerprint long"
+def fingerprints(docs: DataFrame, keys: Sequence[str] = ("doc_id",), width: int = 4, seed: int = 42) -> DataFrame:
+    """``keys`` and ``fingerprint`` (the 64 bits as a signed long) of every whole text. Null and empty texts: 0."""
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", fingerprint long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, width, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fingerprint"])
+            found = np.fromiter((fingerprint(t, width, seed) for t in batch.column(len(keys)).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*keys, "fingerprint"])
 
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(*keys, "text").mapInArrow(run, schema)
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
@@ -165,16 +166,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
 
 
-def near_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+def near_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, more: Sequence[str] = ()) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable over fingerprints
     that differ in ``radius`` bits or fewer.
 
     Equal fingerprints are one class, searched once under the class's smallest doc_id, so a group of exact copies of
     any size is one row in the search. Null and empty texts have fingerprint 0 and are linked like others. A row whose
     doc_id is null has a fingerprint and joins its class, but never names a component unless all its rows are null.
-    Repeated rows give repeated rows; an empty table gives none; other columns are not read.
+    Repeated rows give repeated rows; an empty table gives none; other columns than ``more``, which are returned too, are not read.
     """
-    marks = materialize(fingerprints(docs, width=width, seed=seed), "fingerprints")
+    marks = materialize(fingerprints(docs, ("doc_id", *more), width, seed), "fingerprints")
     classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     named = materialize(classes.filter("rep is not null").select(F.col("rep").cast("long"), "fingerprint"), "classes")
     # a doc_id that is on rows with several texts names several classes, so classes are linked by fingerprint
@@ -182,4 +183,17 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     group = named.join(found, named["fingerprint"] == found["node"], "left").select(named["fingerprint"], "rep", F.coalesce("component", named["fingerprint"]).alias("component"))
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = materialize(group.join(least, "component").select("fingerprint", "component_id"), "components")
-    return marks.join(ids, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return marks.join(ids, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *more)
+
+
+def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns: the one with the smallest doc_id, and of several
+    texts under it the one with the smallest hash. Rows without a doc_id give way to those with one."""
+    (t,) = fresh(docs.columns, "_text_hash")
+    rows = docs.withColumn(t, F.xxhash64("text"))
+    near = near_components(rows.select("doc_id", "text", t), radius, more=[t])
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", t)
+    # only rows without a doc_id can be in a component without a name
+    first = near.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min(place).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_of"), F.col(f"first.{t}").alias("_t"))
+    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col(t) == F.col("_t")), "left_semi").dropDuplicates(["doc_id", t]).select(*[F.col(f"`{c}`") for c in docs.columns])
