@@ -51,3 +51,25 @@ def crc32_text(text: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a membership filter: its words are 2^18 rows at most, whatever goes in.
+FILTER_BITS = 1 << 24
+
+
+def mark_maybe(rows: DataFrame, key: Column, wanted: DataFrame, name: str, flag: str) -> DataFrame:
+    """Add ``flag``: whether ``key`` (a hash) may be in ``wanted[name]``; true for all that are, and few others while
+    the filter is sparse. It is broadcast at a size that ``FILTER_BITS`` bounds."""
+    spot = lambda x: F.pmod(x, F.lit(FILTER_BITS))
+    word, bit, bits = fresh(rows.columns, "_word", "_bit", "_bits")
+    one = F.expr(f"shiftleft(1L, cast({bit} AS int))")
+    words = wanted.select(F.shiftright(spot(F.col(name)), 6).alias(word), spot(F.col(name)).bitwiseAND(F.lit(63)).alias(bit))
+    words = words.groupBy(word).agg(F.bit_or(one).alias(bits))
+    held = rows.withColumn(word, F.shiftright(spot(key), 6)).withColumn(bit, spot(key).bitwiseAND(F.lit(63)))
+    return held.join(F.broadcast(words), word, "left").withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(one) != 0, F.lit(False))).drop(word, bit, bits)
+
+
+def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows that ``mark_maybe`` marks: it keeps most others out of the join that follows."""
+    (flag,) = fresh(rows.columns, "_maybe")
+    return mark_maybe(rows, key, wanted, name, flag).filter(flag).drop(flag)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, mark_maybe, materialize, maybe_in
 
 #: Edits of UTF-8 bytes within which lines are near, and the bytes from which on lines are compared so; shorter ones
 #: count only if they are equal.
@@ -42,7 +42,7 @@ def keys(line: Column, edits: int) -> Column:
 def parities(line: Column) -> Column:
     """64 bits: of the neighbouring byte pairs that hash to each, whether there is an odd number. An edit takes away
     and adds two pairs at most, so it turns four bits at most."""
-    items = F.split(line, "")
+    items = F.split(F.decode(line, "ISO-8859-1"), "")
     bit = F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda x, i: F.pmod(F.hash(F.get(items, i), x), F.lit(64)))
     odd = F.aggregate(bit, F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), lambda s, k: F.array(s[0].bitwiseXOR(F.when(k < 32, one_bit(k)).otherwise(F.lit(0))), s[1].bitwiseXOR(F.when(k >= 32, one_bit(k - 32)).otherwise(F.lit(0)))))
     return F.shiftleft(odd[1], 32).bitwiseOR(odd[0])
@@ -94,46 +94,54 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 def near_pairs(lines: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
     """(a, b): hashes of ``lines`` (h, bytes) that hold all pairs within ``edits``, and some further ones.
 
-    Every line is under the hashes of the substrings that it looks up. Keys are counted with their least and largest
-    line first: a key of two lines is a pair at once, and only those of more are listed with their members. These are
-    compared by parities, which a near pair shares but for ``4 * edits`` bits and other lines hardly do, so a segment
-    that thousands of lines share gives few pairs. A group beyond ``block`` lines is cut into blocks by a hash, and
-    each pair of its blocks is compared by itself.
+    Every line is under the hashes of the substrings that it looks up; ``lines`` may repeat. Each key's least and
+    largest line are found first, combined before the shuffle, and only keys of two lines or more are listed with
+    their members. These are compared by parities, which a near pair shares but for ``4 * edits`` bits and other lines
+    hardly do, so a segment that thousands of lines share gives few pairs. A group beyond ``block`` lines is cut into
+    blocks by a hash, and each pair of its blocks is compared by itself.
     """
     slim = lines.select("h", F.explode(keys(F.col("bytes"), edits)).alias("key"))
-    groups = materialize(slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b"), "groups")
-    more = groups.filter("n > 2").select("key", "n")
-    members = lines.select("h", "bytes", F.explode(keys(F.col("bytes"), edits)).alias("key")).join(more, "key")
-    members = members.select("key", "h", parities(F.col("bytes")).alias("p"), F.length("bytes").alias("size"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    shared = slim.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
+    shared = materialize(shared, "shared")
+    listed = maybe_in(lines.select("h", "bytes", F.explode(keys(F.col("bytes"), edits)).alias("key")), F.col("key"), shared, "key")
+    members = listed.select("key", "h", parities(F.col("bytes")).alias("p"), F.length("bytes").alias("size")).join(shared, "key").distinct()
+    members = materialize(members, "members")
+    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
+    members = members.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     members = members.withColumn("part", F.pmod(F.xxhash64("h", "key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    members = materialize(members.select(F.xxhash64("key", lo, hi).alias("cell"), "h", "p", "size", "part", (lo == hi).alias("own")), "members")
+    members = members.select(F.xxhash64("key", lo, hi).alias("cell"), "h", "p", "size", "part", (lo == hi).alias("own"))
     others = members.toDF("cell", "b", "q", "long", "there", "_own")
     near = (F.col("h") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * edits) & (F.abs(F.col("size") - F.col("long")) <= edits)
     pairs = members.join(others, "cell").filter(near & (F.col("own") | (F.col("part") != F.col("there"))))
-    return groups.filter("n = 2").select("a", "b").union(pairs.select(F.col("h").alias("a"), "b")).distinct()
+    return pairs.select(F.col("h").alias("a"), "b").distinct()
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(place, h, g, line) of each line with a word: its place in the corpus and 128 bits of hash."""
+    """(place, h, g, bytes) of each line with a word: its place in the corpus and 128 bits of hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.filter(F.length(F.translate("line", " \t\n\x0b\x0c\r", "")) > 0)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "pos", "t")
-    return rows.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("g"), "line")
+    return rows.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("g"), F.col("line").cast("binary").alias("bytes"))
 
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
-    """(doc_id, t, pos, near): the lines of ``docs`` that an equal or near line precedes; ``near``: only a near one."""
+    """(doc_id, t, pos, near): the lines of ``docs`` that an equal or near line precedes; ``near``: only a near one.
+
+    Lines are shuffled as hashes and places. Their texts are read again where they are needed, for the members of
+    shared keys and for candidate pairs.
+    """
     rows = line_rows(docs)
-    classes = rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-    # bytes as Latin-1 characters, so that string functions count and cut bytes
-    classes = materialize(classes.select("h", "g", "first", "n", F.decode(F.encode("line", "UTF-8"), "ISO-8859-1").alias("bytes")), "lines")
-    long = classes.filter(F.length("bytes") >= least)
-    pairs = materialize(near_pairs(long.select("h", "bytes"), edits), "pairs")
-    side = lambda x: long.select(F.col("h").alias(x), F.struct("h", "g", "first", "bytes").alias(f"{x}_"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.length("a_.bytes") - F.length("b_.bytes")) <= edits)
+    classes = materialize(rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "lines")
+    long = rows.filter(F.length("bytes") >= least).select("h", "g", "bytes")
+    pairs = materialize(near_pairs(long, edits), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     # classes whose hashes agree meet here as well and are told apart by their bytes
-    items = lambda x: F.split(x, "")
+    texts = maybe_in(long, F.col("h"), ends, "h").groupBy("h", "g").agg(F.first("bytes").alias("bytes"))
+    texts = materialize(maybe_in(classes.drop("n"), F.col("h"), ends, "h").join(texts, ["h", "g"]), "texts")
+    side = lambda x: texts.select(F.col("h").alias(x), F.struct("h", "g", "first", "bytes").alias(f"{x}_"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.length("a_.bytes") - F.length("b_.bytes")) <= edits)
+    items = lambda x: F.split(F.decode(x, "ISO-8859-1"), "")
     near = both.filter(edit_distance(items(F.col("a_.bytes")), items(F.col("b_.bytes")), edits) <= edits)
     later = F.col("a_.first") > F.col("b_.first")
     near = near.select(F.when(later, F.col("a_")).otherwise(F.col("b_")).alias("x"), F.when(later, F.col("b_.first")).otherwise(F.col("a_.first")).alias("before"))
@@ -141,7 +149,7 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTE
     fates = classes.filter("n > 1").select("h", "g", F.col("first").alias("before"), F.lit(False).alias("near"))
     fates = fates.union(near.select("h", "g", "before", F.lit(True)))
     fates = materialize(fates.groupBy("h", "g").agg(F.min("before").alias("before"), F.min(F.struct(F.col("near"), F.col("before"))).alias("own")), "fates")
-    hit = rows.select("place", "h", "g").join(fates, ["h", "g"]).filter(F.col("place") > F.col("before"))
+    hit = maybe_in(rows.select("place", "h", "g"), F.col("h"), fates, "h").join(fates, ["h", "g"]).filter(F.col("place") > F.col("before"))
     equal = ~F.col("own.near") & (F.col("place") > F.col("own.before"))
     return hit.select("place.doc_id", "place.t", "place.pos", (~equal).alias("near"))
 
@@ -158,12 +166,15 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -
     empty table gives none. Other columns pass through; n_lines, n_equal and n_near replace columns with these names.
     """
     docs = docs.drop("n_lines", "n_equal", "n_near")
-    t, gone = fresh(docs.columns, "t", "gone")
+    t, gone, row = fresh(docs.columns, "t", "gone", "row")
     hits = duplicate_lines(docs.select("doc_id", "text"), edits, least).distinct()
     hits = hits.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "near")).alias("gone"))
-    hits = hits.select(F.col("doc_id").alias("_of"), F.col("t").alias("_text"), F.col("gone").alias(gone))
+    hits = materialize(hits.select(F.col("doc_id").alias("_of"), F.col("t").alias("_text"), F.col("gone").alias(gone)), "removed")
     rows = docs.withColumn(t, F.xxhash64("text"))
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col(t) == F.col("_text")), "left")
+    # only documents that may lose lines go through the join
+    rows = mark_maybe(rows, F.xxhash64("doc_id", t), hits.select(F.xxhash64("_of", "_text").alias("x")), "x", row)
+    joined = rows.filter(row).join(hits, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col(t) == F.col("_text")), "left").drop("_of", "_text")
+    rows = joined.unionByName(rows.filter(~F.col(row)).withColumn(gone, F.lit(None).cast(hits.schema[gone].dataType)))
     lines, at = F.split("text", "\n"), F.transform(gone, lambda x: x["pos"])
     near = F.coalesce(F.size(F.filter(gone, lambda x: x["near"])), F.lit(0))
     total = F.coalesce(F.size(gone), F.lit(0))
