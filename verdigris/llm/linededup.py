@@ -14,6 +14,8 @@ from .common import fresh, mark_maybe, materialize, maybe_in
 EDITS, LEAST_BYTES = 2, 24
 #: Lines of a key that one task compares; a larger group is compared block by block.
 BLOCK = 1024
+#: Bytes whose counts tell most lines with a common segment apart: a space and frequent letters.
+COUNTED = " etnahir"
 
 
 def cuts(line: Column, edits: int) -> list[tuple[int, Column, Column, Column]]:
@@ -39,20 +41,19 @@ def keys(line: Column, edits: int) -> Column:
     return F.array_distinct(F.array(*[F.xxhash64(F.lit(i), m, F.substring(line, at, size)) for i, m, at, size in cuts(line, edits)]))
 
 
-def parities(line: Column) -> Column:
-    """64 bits: of the neighbouring byte pairs that hash to each, whether there is an odd number. An edit takes away
-    and adds two pairs at most, so it turns four bits at most."""
-    items = F.split(F.decode(line, "ISO-8859-1"), "")
-    bit = F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda x, i: F.pmod(F.hash(F.get(items, i), x), F.lit(64)))
-    odd = F.aggregate(bit, F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), lambda s, k: F.array(s[0].bitwiseXOR(F.when(k < 32, one_bit(k)).otherwise(F.lit(0))), s[1].bitwiseXOR(F.when(k >= 32, one_bit(k - 32)).otherwise(F.lit(0)))))
-    return F.shiftleft(odd[1], 32).bitwiseOR(odd[0])
+def letter_counts(line: Column) -> list[Column]:
+    """How often each of ``COUNTED`` is in ``line``. An edit takes away one byte and adds one at most, so near lines
+    differ by ``2 * edits`` in all of these together at most."""
+    text = F.decode(line, "ISO-8859-1")
+    return [F.length(text) - F.length(F.translate(text, c, "")) for c in COUNTED]
 
 
-def one_bit(k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(1 << i) for i in range(32)]), F.least(F.greatest(k, F.lit(0)), F.lit(31)) + 1)
+def edit_distance(a: Column, b: Column, edits: int) -> Column:
+    """``banded`` of arrays ``a`` and ``b``, which a lambda binds, so that they are made once and not for each item."""
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: banded(s["a"], s["b"], edits)), F.lit(0))
 
 
-def edit_distance(a: Column, b: Column, edits: int) -> Column:
+def banded(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of arrays ``a`` and ``b`` of over ``edits`` items whose sizes differ by ``edits`` at most; exact up
     to ``edits``, else larger than that.
 
@@ -96,15 +97,15 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, block: int = BLOCK) -> Data
 
     Every line is under the hashes of the substrings that it looks up; ``lines`` may repeat. Each key's least and
     largest line are found first, combined before the shuffle, and only keys of two lines or more are listed with
-    their members. These are compared by parities, which a near pair shares but for ``4 * edits`` bits and other lines
-    hardly do, so a segment that thousands of lines share gives few pairs. A group beyond ``block`` lines is cut into
+    their members. These are compared by letter counts, which differ little in a near pair and much in others, so a
+    segment that thousands of lines share gives few pairs. A group beyond ``block`` lines is cut into
     blocks by a hash, and each pair of its blocks is compared by itself.
     """
     slim = lines.select("h", F.explode(keys(F.col("bytes"), edits)).alias("key"))
     shared = slim.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
     shared = materialize(shared, "shared")
     listed = maybe_in(lines.select("h", "bytes", F.explode(keys(F.col("bytes"), edits)).alias("key")), F.col("key"), shared, "key")
-    members = listed.select("key", "h", parities(F.col("bytes")).alias("p"), F.length("bytes").alias("size")).join(shared, "key").distinct()
+    members = listed.select("key", "h", F.array(*letter_counts(F.col("bytes"))).alias("p"), F.length("bytes").alias("size")).join(shared, "key").distinct()
     members = materialize(members, "members")
     parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
     members = members.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -112,7 +113,8 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, block: int = BLOCK) -> Data
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
     members = members.select(F.xxhash64("key", lo, hi).alias("cell"), "h", "p", "size", "part", (lo == hi).alias("own"))
     others = members.toDF("cell", "b", "q", "long", "there", "_own")
-    near = (F.col("h") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * edits) & (F.abs(F.col("size") - F.col("long")) <= edits)
+    apart = sum((F.abs(F.get("p", F.lit(i)) - F.get("q", F.lit(i))) for i in range(len(COUNTED))), F.lit(0))
+    near = (F.col("h") < F.col("b")) & (apart <= 2 * edits) & (F.abs(F.col("size") - F.col("long")) <= edits)
     pairs = members.join(others, "cell").filter(near & (F.col("own") | (F.col("part") != F.col("there"))))
     return pairs.select(F.col("h").alias("a"), "b").distinct()
 
