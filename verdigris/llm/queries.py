@@ -16,6 +16,7 @@ from .packing import pack
 from .quality import quality
 from .sharding import shard_documents
 from .simhash import near_components
+from .substrings import without_repeats
 from .toxicity import toxicity
 
 
@@ -40,6 +41,10 @@ def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read_table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
