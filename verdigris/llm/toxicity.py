@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The letters that leetspeak writes with these characters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "*": "", "#": "", "%": "", "&": "", ".": "", "-": "", "_": "", " ": ""}
 #: Log probabilities of the channel: a sign for a letter, a letter left out for a sign or a repetition, a sign that
@@ -171,19 +173,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A letter trigram model is counted over all texts; noisy words of leetspeak, spaced and repeated letters are decoded
     under it; a logistic regression on the restored words gives the score. It learns from at most ``MOST_LABELS``
     labelled rows, none of them with crc32(doc_id) mod 5 = 0. Null and empty texts have the score of a text without
-    words. Without labels of both kinds every score is 1 if all are toxic, else 0. A null doc_id isn't held out.
+    words. Without labelled documents of both kinds every score is 1 if all are toxic, else 0. A null doc_id isn't held out.
     Repeated rows are scored each; an empty table gives none; other columns are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     chars = language_model(trigram_counts(docs))
     train = labelled_sample(docs, labels.select("doc_id", "toxic").filter(~held))
-    train = word_features(restored(train, chars), "restored").join(labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic")), "doc_id")
-    kinds = {r[0] for r in labels.filter(~held).select("toxic").dropna().distinct().collect()}
+    train = restored(train, chars).join(labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic")), "doc_id")
+    train = materialize(train, "labelled")
+    kinds = {r[0] for r in train.select("toxic").distinct().collect()}
     rows = restored(docs, chars)
     if len(kinds) < 2:
         score = F.lit(1.0 if kinds == {1} else 0.0)
     else:
-        fitted = LogisticRegression(labelCol="toxic", maxIter=60, regParam=2e-4, standardization=False).fit(train)
+        fitted = LogisticRegression(labelCol="toxic", maxIter=60, regParam=2e-4, standardization=False).fit(word_features(train, "restored"))
         rows = fitted.transform(word_features(rows, "restored"))
         score = vector_to_array("probability")[1]
     return rows.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
