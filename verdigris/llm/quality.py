@@ -18,9 +18,9 @@ STATISTICS = {"z_word": 0.15, "z_symbol": 0.07, "z_line": 0.25, "z_repeat": 0.15
 SUBSET, STEPS, CUTOFF = 0.75, 4, 22.0
 
 
-#: Fixed value: 0.75 over the chi-squared distribution function, 7 degrees of freedom, at the 0.75 quantile for 5: the
-#: variance that a normal core of three quarters of the rows loses.
-CONSISTENCY = 1.62
+#: 0.75 over the chi-squared distribution function, 7 degrees of freedom, at the 0.75 quantile for 5: the
+#: variance that a normal core of three quarters of the rows loses; then the 0.975 quantile, and the same for it.
+CONSISTENCY, INNER, INNER_CONSISTENCY = 1.62, 12.83, 1.0555
 
 
 def without(text: Column, characters: str) -> Column:
@@ -98,7 +98,8 @@ def covariance_estimates(rows: DataFrame, group: list[str], subset: float = SUBS
     Starts from coordinate medians and deviations from them, then concentrates: the ``subset`` of a group's rows that
     lie nearest under the present estimate give the next one, and the determinant falls with each step. The quantile
     of the distances and the moments are aggregated map-side first, so a group with a third of all rows is no
-    burden. The scatter is made consistent for a normal core by the median distance, and has the floors of
+    burden. The scatter is made consistent for a normal core. As far-off rows leave a subset with more of the core than
+    supposed, a last step takes all rows within ``INNER`` of that estimate instead. Every scatter has the floors of
     ``STATISTICS`` added to its diagonal. A group of one row has its values and the floors alone.
     """
     names = list(STATISTICS)
@@ -110,16 +111,19 @@ def covariance_estimates(rows: DataFrame, group: list[str], subset: float = SUBS
         for j in range(i, d):
             now = now.withColumn(f"c_{i}_{j}", (F.col(f"d_{c}") * 1.4826) ** 2 + F.lit(STATISTICS[c] ** 2) if i == j else F.lit(0.0))
     now = materialize(with_factor(now, names).select(*group, *[f"m_{c}" for c in names], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]), "estimates")
-    for _ in range(steps):
+    for step in range(steps + 1):
         placed = same_group(rows, now, group).withColumn("dist", distance(names)).select(*group, *names, "dist")
-        cut = placed.groupBy(*group).agg(F.percentile_approx("dist", subset, 10_000).alias("cut"))
-        core = same_group(placed, cut, group).filter("dist <= cut")
+        if step < steps:
+            cut = placed.groupBy(*group).agg(F.percentile_approx("dist", subset, 10_000).alias("cut"))
+            core, scale = same_group(placed, cut, group).filter("dist <= cut"), F.lit(CONSISTENCY)
+        else:
+            core, scale = placed.filter(F.col("dist") <= INNER), F.lit(INNER_CONSISTENCY)
         products = [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i in range(d) for j in range(i, d)]
         now = core.groupBy(*group).agg(*[F.avg(c).alias(f"m_{c}") for c in names], *products)
         for i in range(d):
             for j in range(i, d):
                 c = F.col(f"p_{i}_{j}") - F.col(f"m_{names[i]}") * F.col(f"m_{names[j]}")
-                now = now.withColumn(f"c_{i}_{j}", c * F.lit(CONSISTENCY) + F.lit(STATISTICS[names[i]] ** 2) if i == j else c * F.lit(CONSISTENCY))
+                now = now.withColumn(f"c_{i}_{j}", c * scale + F.lit(STATISTICS[names[i]] ** 2) if i == j else c * scale)
         now = materialize(with_factor(now, names).select(*group, *[f"m_{c}" for c in names], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]), "estimates")
     return now
 
