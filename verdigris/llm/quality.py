@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 
 #: White space between words, and the characters that count as symbols.
-SPACE, SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r", "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SPACE, WORD, SYMBOLS, UPPER = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]", "[A-Z]"
 #: The transformed statistics, and the least deviation that each is taken to have in any group: shares that are zero
 #: in nearly all documents have none of their own.
 STATISTICS = {"z_word": 0.15, "z_symbol": 0.07, "z_line": 0.25, "z_repeat": 0.15, "z_upper": 0.15}
@@ -23,8 +22,8 @@ SUBSET, STEPS, CUTOFF = 0.75, 4, 22.0
 CONSISTENCY, INNER, INNER_CONSISTENCY = 1.62, 12.83, 1.0555
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -32,11 +31,9 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     text, and n_lines and n_upper, for the transformed ones. Null counts as a text without words. One projection
     after another over the same row: no shuffle."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(without(x, SPACES)) > 0)
-    rows = rows.select(
-        *keep, F.array_remove(F.split("text", SPACE), "").alias("words"), lines.alias("lines"), F.length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"), (F.length("text") - F.length(without(F.col("text"), UPPER))).cast("long").alias("n_upper"),
-    )
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    rows = rows.select(*keep, F.array_remove(F.split("text", SPACE), "").alias("words"), lines.alias("lines"), count(F.col("text"), SYMBOLS).alias("n_symbols"), count(F.col("text"), UPPER).alias("n_upper"))
+    rows = rows.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
     base = [*keep, "word_chars", "n_symbols", "n_upper"]
     rows = rows.select(*base, F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     base += ["n_words", "n_lines", "n_dup_lines"]
