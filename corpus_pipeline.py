@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import materialize, read_table
 from verdigris.llm.linededup import dedup_lines
 from verdigris.llm.mixing import mix
+from verdigris.llm.neardedup import one_of_each
 from verdigris.llm.packing import pack
 from verdigris.llm.quality import keep_good
-from verdigris.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each group joined by five-word Jaccard similarity 0.8 or more stays."""
     return one_of_each(docs)
 
 

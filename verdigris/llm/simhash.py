@@ -11,30 +11,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, parallelism
+from .common import materialize, parallelism
 
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of one text: ASCII letters in lower case, words without ASCII white space, ``width``-word shingles
-    (all words if there are fewer; none: 0), a bit set if it is in over half of the shingles' XXH64, repeats counted."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of the ``width``-word shingles (all words if there are fewer) as rows of 8 bytes, repeats among them: ASCII
+    letters in lower case, words without ASCII white space. No words: no rows."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(flat[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())])
-    hashes, ones = np.frombuffer(raw, np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+        raw = xxhash.xxh64_digest(b" ".join(words), seed) if words else b""
+    else:
+        flat = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
+        digest = xxhash.xxh64_digest
+        raw = b"".join([digest(flat[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())])
+    return np.frombuffer(raw, np.uint8).reshape(-1, 8)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of one text: a bit is set if it is in over half of the shingles' hashes, repeats counted (no words: 0)."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, keys: Sequence[str] = ("doc_id",), width: int = 4, seed: int = 42) -> DataFrame:
     """``keys`` and ``fingerprint`` (the 64 bits as a signed long) of every whole text. Null and empty texts: 0."""
     kinds = dict(docs.dtypes)
@@ -66,7 +74,7 @@ def signed(mask: int) -> int:
 
 
 def _forest(names: np.ndarray, radius: int, among: np.ndarray | None = None) -> tuple[list, list]:
-    """Links between the fingerprints ``names`` that join what is joined by steps within ``radius``. Rather than all pairs, each
+    """Links within ``radius`` between the fingerprints ``names`` that join all that such steps join. Rather than all pairs, each
     fingerprint reached is compared only with those not reached yet. With ``among`` (a side for each fingerprint) only
     links between the two sides count, as each side is searched elsewhere."""
     if len(names) == 2:
@@ -76,7 +84,6 @@ def _forest(names: np.ndarray, radius: int, among: np.ndarray | None = None) ->
     codes, left, right, rest = names.view(np.uint64), [], [], np.argsort(names, kind="stable")
     while len(rest):
         front, rest = rest[:1], rest[1:]
-        root = int(names[front[0]])
         while len(front) and len(rest):
             # as many of the front at once as keep the comparison small
             part, front = front[: max(1, 2_000_000 // len(rest))], front[max(1, 2_000_000 // len(rest)) :]
@@ -85,7 +92,7 @@ def _forest(names: np.ndarray, radius: int, among: np.ndarray | None = None) ->
                 near &= among[part][:, None] != among[rest][None, :]
             hit = near.any(axis=0)
             got = rest[hit]
-            left += [root] * len(got)
+            left += names[part[near.argmax(axis=0)[hit]]].tolist()
             right += names[got].tolist()
             front, rest = np.concatenate((front, got)), rest[~hit]
     return left, right
@@ -184,16 +191,3 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = materialize(group.join(least, "component").select("fingerprint", "component_id"), "components")
     return marks.join(ids, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *more)
-
-
-def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """One row of ``docs`` of each component, with all its columns: the one with the smallest doc_id, and of several
-    texts under it the one with the smallest hash. Rows without a doc_id give way to those with one."""
-    (t,) = fresh(docs.columns, "_text_hash")
-    rows = docs.withColumn(t, F.xxhash64("text"))
-    near = near_components(rows.select("doc_id", "text", t), radius, more=[t])
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", t)
-    # only rows without a doc_id can be in a component without a name
-    first = near.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min(place).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_of"), F.col(f"first.{t}").alias("_t"))
-    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col(t) == F.col("_t")), "left_semi").dropDuplicates(["doc_id", t]).select(*[F.col(f"`{c}`") for c in docs.columns])
