@@ -35,3 +35,24 @@ def test_matches_brute_force(spark, monkeypatch):
     got = substrings.without_repeats(cases.clashing(cases.table(spark, data)))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == slow(data)
     assert substrings.without_repeats(cases.table(spark, [])).collect() == []
+
+
+def test_large_buckets_are_dealt_on_by_windows(spark, monkeypatch):
+    """One passage in many contexts: with a small bound no bucket over it may reach the ranking of whole buckets."""
+    from verdigris.llm import substrings
+
+    monkeypatch.setattr(substrings, "BATCH", 2000)
+    ranked = substrings.first_holders
+    sizes = []
+
+    def watched(distinct):
+        sizes.extend(r.n for r in distinct.selectExpr("bucket", "length(s) n").groupBy("bucket").agg({"n": "sum"}).toDF("bucket", "n").collect())
+        return ranked(distinct)
+
+    monkeypatch.setattr(substrings, "first_holders", watched)
+    passage = cases.prose(77, 30)
+    data = [(i, cases.prose(300 + i, 12) + passage[:64] + cases.prose(400 + i, 12), "en", "s", 1) for i in range(80)]
+    data += [(None, passage, "en", "s", 1), (None, "q" + passage, "en", "s", 1), data[3]]
+    got = substrings.without_repeats(cases.table(spark, data)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == slow(data)
+    assert max(sizes) <= 2000

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,22 +123,43 @@ def removed_spans(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, t long, a long, b long")
 
 
+def wide_spans(cut: DataFrame) -> DataFrame:
+    """(doc_id, t, a, b) as of ``removed_spans``, from segments ``cut`` of buckets too large to be ranked in one task:
+    each window goes by a 128-bit hash of its own, and smallest doc_ids are combined before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, t, at, s in zip(*[c.to_pylist() for c in batch.columns]):
+                n = len(s) - MATCH + 1
+                places = np.arange(at, at + n)
+                found = [xxhash.xxh3_128_digest(s[i : i + MATCH]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, t)), pa.array(places), pa.array(found, pa.binary())], names=["doc_id", "t", "a", "w"])
+
+    windows = cut.select("doc_id", "t", "at", "s").mapInArrow(run, "doc_id long, t long, a long, w binary")
+    least = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least")
+    return windows.join(least, "w").filter("least < doc_id").select("doc_id", "t", "a", (F.col("a") + MATCH).alias("b"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes left) of every document.
 
     A byte goes if a ``MATCH``-byte string that covers it also starts in a document with a smaller doc_id, all judged
     on the input. Equal segments are combined before they are shuffled, so a passage with any number of copies is one
-    row in its bucket; buckets hold distinct segments only.
+    row in its bucket; buckets hold distinct segments only. Buckets of over ``BATCH`` bytes, copies counted, are dealt on
+    by whole windows, so no task holds one of them.
 
     Null texts are empty. Documents without a doc_id come after all others and not before each other; rows with one
     doc_id don't remove each other's bytes. An empty table gives none. Other columns are not read.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    cut = segments(rows)
+    every = segments(rows)
+    # at most as many as there are ``BATCH`` bytes of segments
+    wide = materialize(every.groupBy("bucket").agg(F.sum(F.length("s")).alias("size")).filter(F.col("size") > BATCH).select("bucket"), "wide")
+    cut = every.join(F.broadcast(wide), "bucket", "left_anti")
     distinct = cut.groupBy("bucket", "s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("sh", F.xxhash64("s"))
     marks = materialize(first_holders(distinct), "marks")
     found = cut.select("bucket", F.xxhash64("s").alias("sh"), "doc_id", "t", "at").join(marks, ["bucket", "sh"]).select("doc_id", "t", "at", "mins")
-    spans = removed_spans(found).distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = removed_spans(found).union(wide_spans(every.join(F.broadcast(wide), "bucket", "left_semi"))).distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("_of"), F.col("t").alias("_t"), "spans"), "spans")
     joined = rows.join(spans, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_of")) & (F.col("t") == F.col("_t")), "left")
 
