@@ -35,6 +35,18 @@ def test_decoding_under_the_language_model(spark):
     assert got[1:] == ["stupid cat", "stupid", "pathetic worthless", "the cat sat."] and got[0].split()[1:] == ["idiot", "clown"]
 
 
+def test_every_noisy_shape_reaches_the_lattice(spark):
+    from verdigris.llm.toxicity import language_model, restore, trigram_counts
+
+    words = "stupid idiot asshole ass clown the cat sat on the mat "
+    model = language_model(trigram_counts(cases.table(spark, [(1, words * 60, "en", "s", 1)])))
+    noisy = ["@$$hole", "a$$", "$$tupid", "5+upid", "!diot", "(clown)", "i d 1 o t", "i  d  i\no t", "5 t u p 1 d", "s\tt u p i d cat", "the cat sat."]
+    assert restore(noisy, model, {}) == ["asshole", "ass", "stupid", "stupid", "idiot", "(clown)", "idiot", "idiot", "stupid", "stupid cat", "the cat sat."]
+    # no sign is left of a masked word, whatever the letters
+    assert restore(["f****k"], model, {})[0].isalpha()
+    assert restore(["1 2 3", "1,000"], model, {}) == ["1 2 3", "1,000"]
+
+
 def test_counts_match_brute_force(spark):
     from verdigris.llm.toxicity import LETTERS, letter_codes, trigram_counts
 

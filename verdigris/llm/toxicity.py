@@ -23,14 +23,15 @@ SWAP, DROP, REPEAT, PLAIN, JOIN = -1.0, -2.5, -0.3, -6.0, -0.5
 #: Letters of the language model: a word boundary, a to z, the letters of U+00DF to U+00FF, and all others.
 LETTERS = 60
 MOST_LABELS, FEATURES = 20_000, 1 << 16
-#: Signs that decorate a word's ends, and how many words a task remembers.
-ENDS, MOST_KNOWN = ".,;:?!#%&*|\"'()", 400_000
+#: Punctuation around words, and how many words and spaced runs a task remembers.
+ENDS, MOST_KNOWN = ".,;:?\"'()", 400_000
 
-_WORD = r"[^\W\d_]"
-#: In a word: a sign between letters, before or after them, or a letter three times or more.
-NOISY = re.compile(rf"{_WORD}[0-9@$!|+(*#%&.\-_]{{1,3}}{_WORD}|^[0-9@$]{_WORD}{_WORD}|{_WORD}{_WORD}[0-9@$]$|({_WORD})\1\1").search
-#: Single letters set apart by spaces.
-SPACED = re.compile(rf"(?<!\S){_WORD}(?: {_WORD}){{2,}}(?![^\s.,!?;:])")
+_WORD, _SIGN = r"[^\W\d_]", r"[0-9@$!|+(*#%&.\-_]"
+#: In a word: a letter beside any sign or digit, a letter three times or more, or nothing but signs that write letters.
+NOISY = re.compile(rf"{_WORD}{_SIGN}|{_SIGN}{_WORD}|({_WORD})\1\1|^(?=.*[@$])[@$!|+(*]{{2,}}$").search
+#: Single letters, digits and signs set apart by any white space, two of them letters at least.
+SPACED = re.compile(rf"(?<!\S)(?:{_WORD}|{_SIGN})(?:\s+(?:{_WORD}|{_SIGN})){{2,}}(?![^\s.,!?;:])")
+LETTER, SPACE = re.compile(_WORD), re.compile(r"\s+")
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -115,12 +116,23 @@ def viterbi(word: str, model: np.ndarray) -> str:
 
 
 def restore(texts: list[str], model: np.ndarray, known: dict[str, str | None]) -> list[str]:
-    """``texts`` with noisy words and spaced letters decoded; a word whose lattice has one path is left as it is. Signs
-    at a word's end are dropped first. ``known`` keeps what became of words (None: nothing)."""
+    """``texts`` with words that have signs, digits or repetitions and runs of single characters decoded; a word whose
+    lattice has one path is left as it is. Punctuation around a word is dropped first. ``known`` keeps what became of
+    words and runs (None: nothing)."""
+
+    def joined(m: re.Match) -> str:
+        if len(LETTER.findall(m.group(0))) < 2:
+            return m.group(0)
+        run = SPACE.sub(" ", m.group(0))
+        if (got := known.get(run)) is None:
+            got = viterbi(run, model)
+            if len(known) < MOST_KNOWN:
+                known[run] = got
+        return got
+
     out = []
     for text in texts:
-        if " " in text:
-            text = SPACED.sub(lambda m: viterbi(m.group(0), model), text)
+        text = SPACED.sub(joined, text)
         fixed: dict[str, str] = {}
         for word in set(text.split()):
             if word in known:
