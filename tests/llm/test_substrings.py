@@ -38,21 +38,68 @@ def test_matches_brute_force(spark, monkeypatch):
 
 
 def test_large_buckets_are_dealt_on_by_windows(spark, monkeypatch):
-    """One passage in many contexts: with a small bound no bucket over it may reach the ranking of whole buckets."""
+    """One passage in many contexts: with a small bound no bucket over it may reach the index of whole buckets."""
     from verdigris.llm import substrings
 
-    monkeypatch.setattr(substrings, "BATCH", 2000)
-    ranked = substrings.first_holders
-    sizes = []
+    indexed, sizes, windowed = substrings.first_matches, [], []
 
-    def watched(distinct):
+    def watched(distinct, batch_bytes):
         sizes.extend(r.n for r in distinct.selectExpr("bucket", "length(s) n").groupBy("bucket").agg({"n": "sum"}).toDF("bucket", "n").collect())
-        return ranked(distinct)
+        return indexed(distinct, batch_bytes)
 
-    monkeypatch.setattr(substrings, "first_holders", watched)
+    def counted(cut, by_window=substrings.wide_spans):
+        windowed.append(cut.count())
+        return by_window(cut)
+
+    monkeypatch.setattr(substrings, "first_matches", watched)
+    monkeypatch.setattr(substrings, "wide_spans", counted)
     passage = cases.prose(77, 30)
     data = [(i, cases.prose(300 + i, 12) + passage[:64] + cases.prose(400 + i, 12), "en", "s", 1) for i in range(80)]
     data += [(None, passage, "en", "s", 1), (None, "q" + passage, "en", "s", 1), data[3]]
-    got = substrings.without_repeats(cases.table(spark, data)).collect()
+    got = substrings.without_repeats(cases.table(spark, data), batch_bytes=2000).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == slow(data)
-    assert max(sizes) <= 2000
+    assert max(sizes) <= 2000 and windowed[0] > 0
+
+
+def test_pieces_of_long_texts_hold_every_window_once(monkeypatch):
+    from verdigris.llm import substrings
+
+    monkeypatch.setattr(substrings, "PIECE", 512)
+    texts = [cases.prose(5, 700).encode(), b"x" * 3000, b"", b"y" * 49, b"z" * 50]
+    seen = sorted((int(o), int(a) + i) for cut in substrings.cuts(texts) for o, a, n in zip(cut.owner, cut.at, cut.windows) for i in range(n))
+    assert seen == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 49)]
+
+
+def longest(text, at, sources):
+    n = 0
+    while n < 64 and at + n < len(text) and any(text[at : at + n + 1] in s for s in sources):
+        n += 1
+    return n
+
+
+def test_matching_statistics_and_runs_equal_brute_force():
+    import numpy as np
+    from verdigris.llm.runindex import RunIndex, suffix_array, words
+
+    rng = random.Random(1)
+    for trial in range(40):
+        letters = b"ab" if trial % 2 else b"abcde"
+        texts = [(g, bytes(rng.choice(letters) for _ in range(rng.randint(0, 90)))) for g in range(rng.randint(1, 4)) for _ in range(rng.randint(1, 4))]
+        flat = np.frombuffer(b"".join(t + b"\xff" for _, t in texts), np.uint8)
+        group = np.repeat([g for g, _ in texts], [len(t) + 1 for _, t in texts])
+        places = suffix_array(flat, group, words(np.concatenate((flat, np.full(64, 255, np.uint8))))[: len(flat)])
+        number = np.repeat(np.arange(len(texts)), [len(t) + 1 for _, t in texts])
+        suffix = lambda i: (group[i], bytes(flat[i : i + bytes(flat[i:]).index(255) + 1]), number[i])
+        assert [suffix(i) for i in places] == sorted(suffix(i) for i in range(len(flat)))
+        index = RunIndex(flat, group)
+        assert index.size.sum() == len(flat) and (index.first[index.size == 1] == index.last[index.size == 1]).all()
+        patterns = []
+        for _ in range(6):
+            g = rng.choice(texts)[0]
+            p = bytearray(b"".join(rng.choice([t for k, t in texts if k == g]) for _ in range(2)))
+            if p:
+                p[rng.randrange(len(p))] = rng.choice(b"abz")
+            patterns.append((g, bytes(p)))
+        sizes = np.array([len(p) for _, p in patterns])
+        got = index.matching_statistics(np.frombuffer(b"".join(p for _, p in patterns), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([g for g, _ in patterns]))
+        assert got.tolist() == [longest(p, i, [t for k, t in texts if k == g]) for g, p in patterns for i in range(len(p))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Spark's setting to drop a query's shuffle files once the query has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the table: it cuts the lineage, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before. The shuffle files behind it go once it is written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    held = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +63,27 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def two_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits of hash of a text, as two longs."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+#: Bits of a filter at least and at most (16 MB), and for each value.
+LEAST_BITS, MOST_BITS, BITS_EACH = 20, 27, 16
+
+
+def bit_filter(rows: DataFrame, name: str) -> np.ndarray:
+    """A bit for each hash in ``rows[name]``, as 64-bit words: those that are there have theirs set, and few others
+    unless they are over ``2**MOST_BITS / BITS_EACH``. ``MOST_BITS`` bounds what is sent, whatever goes in; past it more
+    rows get through, and the join that follows settles all of them."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * rows.count()).bit_length()))
+    spot = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
+    words = rows.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{name}` & 63L AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 #: Bits of a membership filter: its words are 2^18 rows at most, whatever goes in.
 FILTER_BITS = 1 << 24
 

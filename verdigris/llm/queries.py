@@ -41,7 +41,7 @@ def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
 
-def op3_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read_table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 

@@ -1,173 +1,287 @@
-"""Removal of long substrings that earlier documents hold, by truncated suffix ranks within minimizer buckets."""
+"""Removal of long substrings that earlier documents hold, by matching statistics against run-length indexes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism
+from .common import bit_filter, materialize, parallelism, two_hashes
+from .runindex import SEPARATOR, RunIndex, ranges
 
-#: Bytes of a match, of the strings whose hash deals windows into buckets, and of segments that are ranked at once.
-MATCH, SEED, BATCH = 50, 16, 2_000_000
+#: Bytes of a match, and of the strings (seeds) whose hash deals windows of that size into buckets.
+MATCH, SEED = 50, 16
+#: Bytes of segments that are indexed at once; buckets with more different ones are dealt on. Windows of a segment, and
+#: bytes of text that are cut at once.
+BATCH, MOST_WINDOWS, PIECE = 2_000_000, 256, 1 << 18
 LAST = (1 << 63) - 1  # stands for no doc_id: such documents come after all others
 
 
-def window_seeds(text: np.ndarray) -> np.ndarray:
-    """The least hash of the ``SEED``-byte strings in each ``MATCH``-byte window; equal windows have equal ones."""
-    h = text.astype(np.uint64) + np.uint64(1)
-    for size in (1, 2, 4, 8):
+def mixed(text: np.ndarray, sizes: tuple[int, ...], salt: int = 0) -> np.ndarray:
+    """A hash of the string from each place on that ``1 + sum(sizes)`` bytes have, a doubling at a time."""
+    h = text.astype(np.uint64) + np.uint64(1 + salt)
+    for size in sizes:
         h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(29)))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    return h ^ (h >> np.uint64(32))
+
+
+def window_seeds(text: np.ndarray) -> np.ndarray:
+    """The least hash of the ``SEED``-byte strings in each ``MATCH``-byte window; equal windows have equal ones."""
+    h = mixed(text, (1, 2, 4, 8))
     for size in (1, 2, 4, 8, 16):
         h = np.minimum(h[:-size], h[size:])
     rest = MATCH - SEED + 1 - 32
     return np.minimum(h[:-rest], h[rest:])
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """(bucket, doc_id, t, at, s): each document (doc_id, t, text) cut where the seed of its windows changes. Segments
-    overlap, so that every window lies in the one of its bucket."""
+class Cut:
+    """Segments of texts: stretches of windows with one seed, ``MOST_WINDOWS`` at most. ``owner`` is the text's number,
+    ``at`` the first window's place in it, ``seed`` its seed, ``windows`` how many, ``start`` the place in ``flat``."""
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        self.flat = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        sizes = np.array([len(p) for _, _, p in pieces])
+        starts, counts = np.cumsum(sizes) - sizes, sizes - MATCH + 1
+        place = ranges(starts, counts)
+        piece = np.repeat(np.arange(len(pieces)), counts)
+        seeds = window_seeds(self.flat)[place]
+        within = place - starts[piece]
+        new = np.concatenate(([True], (seeds[1:] != seeds[:-1]) | (piece[1:] != piece[:-1]) | (within[1:] % MOST_WINDOWS == 0)))
+        head = np.flatnonzero(new)
+        self.windows = np.diff(np.append(head, len(place)))
+        self.start, self.seed = place[head], seeds[head].view(np.int64)
+        self.owner = np.array([o for o, _, _ in pieces])[piece[head]]
+        self.at = within[head] + np.array([a for _, a, _ in pieces])[piece[head]]
+
+
+def cuts(texts: list[bytes]) -> Iterator[Cut]:
+    """The segments of all windows of ``texts``, about ``PIECE`` bytes at a time, however long a text is."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, len(text) - MATCH + 1, PIECE):
+            held.append((k, at, text[at : at + PIECE + MATCH - 1]))
+            size += len(held[-1][2])
+            if size >= PIECE:
+                yield Cut(held)
+                held, size = [], 0
+    if held:
+        yield Cut(held)
+
+
+def binaries(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings of bytes, ``sizes`` from ``starts`` on."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat[ranges(starts, sizes)]))])
+
+
+def seeds(docs: DataFrame) -> DataFrame:
+    """(bucket): the seed of every segment of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, t, text in zip(*[c.to_pylist() for c in batch.columns]):
-                raw = (text or "").encode()
-                if len(raw) < MATCH:
-                    continue
-                seeds = window_seeds(np.frombuffer(raw, np.uint8)).view(np.int64)
-                starts = np.concatenate(([0], np.flatnonzero(np.diff(seeds)) + 1))
-                ends = np.concatenate((starts[1:], [len(seeds)])) + MATCH - 1
-                yield pa.RecordBatch.from_arrays([pa.array(seeds[starts]), pa.array([name] * len(starts), pa.int64()), pa.array([t] * len(starts), pa.int64()), pa.array(starts.astype(np.int64)), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], names=["bucket", "doc_id", "t", "at", "s"])
-
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "t", "text").mapInArrow(run, "bucket long, doc_id long, t long, at long, s binary")
-
-
-def window_ranks(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Places of the suffixes at ``windows`` in the order of their first ``MATCH`` bytes; equal strings share one.
-    Ranks of 8 bytes are doubled twice, as in building a suffix array."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(len(text), np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | padded[i : i + len(text)]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    for size in (8, 16):
-        then = np.concatenate((rank[size:], np.full(min(size, len(rank)), -1)))[: len(rank)] + 1
-        rank = np.unique(rank * (len(text) + 1) + then, return_inverse=True)[1].astype(np.int64)
-    return np.unique(rank[windows] * (len(text) + 1) + rank[windows + MATCH - 32], return_inverse=True)[1]
-
-
-def first_documents(parts: list[bytes], firsts: list[int]) -> list[np.ndarray]:
-    """For every window of each of ``parts`` the smallest of ``firsts`` among the parts that hold it."""
-    text = np.frombuffer(b"\0".join(parts), np.uint8)
-    sizes = np.array([len(p) for p in parts])
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    counts = sizes - MATCH + 1
-    own = np.repeat(np.arange(len(parts)), counts)
-    windows = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[own]
-    rank, doc = window_ranks(text, windows), np.array(firsts, np.int64)[own]
-    order = np.lexsort((doc, rank))
-    heads = np.concatenate(([True], np.diff(rank[order]) > 0))
-    least = doc[order][heads][rank]
-    return np.split(least, np.cumsum(counts)[:-1])
-
-
-def first_holders(distinct: DataFrame) -> DataFrame:
-    """(bucket, sh, mins): of each distinct segment the smallest doc_id that holds each window, where that is smaller
-    than the largest doc_id with the segment."""
-
-    def ranked(bucket, sh, first, last, parts) -> pa.RecordBatch:
-        mins = first_documents(parts, first)
-        use = [i for i, m in enumerate(mins) if m.min() < last[i]]
-        return pa.RecordBatch.from_arrays([pa.array([bucket[i] for i in use], pa.int64()), pa.array([sh[i] for i in use], pa.int64()), pa.array([mins[i].tobytes() for i in use], pa.binary())], names=["bucket", "sh", "mins"])
+            for cut in cuts(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(cut.seed)], names=["bucket"])
+
+    return docs.select("raw").mapInArrow(run, "bucket long")
+
+
+def segments(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(bucket, doc_id, t, at, s): the segments whose seeds may be shared, as the filter ``words`` says; each has all
+    bytes of its windows, so segments overlap."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            name, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for cut in cuts(batch.column(2).to_pylist()):
+                spot = cut.seed & (64 * len(bits) - 1)
+                use = np.flatnonzero(bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1))
+                own = cut.owner[use]
+                yield pa.RecordBatch.from_arrays([pa.array(cut.seed[use]), pa.array(name[own]), pa.array(t[own]), pa.array(cut.at[use]), binaries(cut.flat, cut.start[use], cut.windows[use] + MATCH - 1)], names=["bucket", "doc_id", "t", "at", "s"])
+
+    return docs.select("doc_id", "t", "raw").mapInArrow(run, "bucket long, doc_id long, t long, at long, s binary")
+
+
+def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each place of the segments whether a match of ``MATCH`` bytes with one of its bucket that a smaller ``first``
+    holds starts there. Segments come in the order of (bucket, first).
+
+    The documents of a bucket are numbered, and split by each bit of the number in turn: those with a clear bit are
+    indexed, and those with a set one and equal higher bits are streamed against the index. So each pair of documents
+    meets once, and an index never holds what comes after a streamed segment.
+    """
+    new_bucket = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+    new_doc = new_bucket | np.concatenate(([True], first[1:] != first[:-1]))
+    number = np.cumsum(new_doc)
+    number -= number[np.maximum.accumulate(np.where(new_bucket, np.arange(len(bucket)), 0))]
+    own, hit, bit = np.cumsum(new_bucket), np.zeros(len(flat), bool), 0
+    while (number >> bit).any():
+        high = number >> (bit + 1)
+        node = np.cumsum(np.concatenate(([False], (own[1:] != own[:-1]) | (high[1:] != high[:-1]))))
+        later = (number >> bit & 1) == 1
+        with_both = np.zeros(int(node[-1]) + 1, bool)
+        with_both[node[later]] = True
+        indexed, read = ~later & with_both[node], np.flatnonzero(later)
+        # each text of the index with its separator
+        size = sizes[indexed] + 1
+        text = np.full(int(size.sum()), SEPARATOR, np.uint8)
+        at = np.cumsum(size) - size
+        text[ranges(at, size - 1)] = flat[ranges(starts[indexed], size - 1)]
+        index = RunIndex(text, np.repeat(node[indexed], size))
+        part = ranges(starts[read], sizes[read])
+        place = np.cumsum(sizes[read]) - sizes[read]
+        hit[part] |= index.matching_statistics(flat[part], place, sizes[read], node[read]) >= MATCH
+        bit += 1
+    return hit
+
+
+def first_matches(distinct: DataFrame, batch_bytes: int) -> DataFrame:
+    """(bucket, sh, first, mask): of the different segments of each bucket those that a further document holds, or of
+    which a smaller doc_id than ``first`` holds windows: these are the bits of ``mask``.
+
+    A task holds whole buckets, ``batch_bytes`` at a time.
+    """
+
+    def matched(columns: list[list]) -> pa.RecordBatch:
+        bucket, sh, first, last = (np.array(c, np.int64) for c in columns[:4])
+        parts = columns[4]
+        order = np.lexsort((first, bucket))
+        sizes = np.array([len(parts[i]) for i in order])
+        flat = np.frombuffer(b"".join([parts[i] for i in order]), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        hit = earlier_matches(flat, starts, sizes, bucket[order], first[order])
+        any_hit = np.logical_or.reduceat(hit, starts)
+        use = np.flatnonzero(any_hit | (first[order] < last[order]))
+        masks = [np.packbits(hit[a : a + n - MATCH + 1]).tobytes() if x else None for a, n, x in zip(starts[use].tolist(), sizes[use].tolist(), any_hit[use].tolist())]
+        own = order[use]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(sh[own]), pa.array(first[own]), pa.array(masks, pa.binary())], names=["bucket", "sh", "first", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(5)]
         size = 0
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if size >= BATCH and row[0] != held[0][-1]:
-                    yield ranked(*held)
+                if size >= batch_bytes and row[0] != held[0][-1]:
+                    yield matched(held)
                     held, size = [[] for _ in range(5)], 0
                 for column, value in zip(held, row):
                     column.append(value)
                 size += len(row[4])
         if held[0]:
-            yield ranked(*held)
+            yield matched(held)
 
-    n = parallelism(distinct.sparkSession)
-    rows = distinct.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return rows.select("bucket", "sh", "first", "last", "s").mapInArrow(run, "bucket long, sh long, mins binary")
+    rows = distinct.repartition(parallelism(distinct.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return rows.select("bucket", "sh", "first", "last", "s").mapInArrow(run, "bucket long, sh long, first long, mask binary")
 
 
 def removed_spans(found: DataFrame) -> DataFrame:
-    """(doc_id, t, a, b): the bytes from a to b of a document whose windows a smaller doc_id holds."""
+    """(doc_id, t, a, b): the bytes from a to b of a document whose windows a smaller doc_id holds: all of a segment that
+    it isn't the first to hold, else those of the mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            for name, t, at, mins in zip(*[c.to_pylist() for c in batch.columns]):
-                hit = np.flatnonzero(np.frombuffer(mins, np.int64) < name)
-                if len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > 1) + 1
-                    for run_ in np.split(hit, cut):
-                        for column, value in zip(out, (name, t, at + int(run_[0]), at + int(run_[-1]) + MATCH)):
-                            column.append(value)
+            for name, t, at, n, first, mask in zip(*[c.to_pylist() for c in batch.columns]):
+                if name > first:
+                    stretches = [(at, at + n + MATCH - 1)]
+                elif mask is None:
+                    continue
+                else:
+                    hit = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n))
+                    stretches = [(at + int(x[0]), at + int(x[-1]) + MATCH) for x in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)]
+                for a, b in stretches:
+                    for column, value in zip(out, (name, t, a, b)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "t", "a", "b"])
 
-    return found.mapInArrow(run, "doc_id long, t long, a long, b long")
+    return found.select("doc_id", "t", "at", "n", "first", "mask").mapInArrow(run, "doc_id long, t long, a long, b long")
 
 
 def wide_spans(cut: DataFrame) -> DataFrame:
-    """(doc_id, t, a, b) as of ``removed_spans``, from segments ``cut`` of buckets too large to be ranked in one task:
-    each window goes by a 128-bit hash of its own, and smallest doc_ids are combined before they are shuffled."""
+    """(doc_id, t, a, b) as of ``removed_spans``, from segments of buckets too large to be indexed in one task: each
+    window goes by a 128-bit hash of its own, and smallest doc_ids are combined before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, t, at, s in zip(*[c.to_pylist() for c in batch.columns]):
-                n = len(s) - MATCH + 1
-                places = np.arange(at, at + n)
-                found = [xxhash.xxh3_128_digest(s[i : i + MATCH]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, t)), pa.array(places), pa.array(found, pa.binary())], names=["doc_id", "t", "a", "w"])
-
-    windows = cut.select("doc_id", "t", "at", "s").mapInArrow(run, "doc_id long, t long, a long, w binary")
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "least")
-    return windows.join(least, "w").filter("least < doc_id").select("doc_id", "t", "a", (F.col("a") + MATCH).alias("b"))
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
+            name, t, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            parts = batch.column(3).to_pylist()
+            for low in range(0, len(parts), 4096):
+                own = parts[low : low + 4096]
+                sizes = np.array([len(p) for p in own])
+                flat, starts, counts = np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes, sizes - MATCH + 1
+                place = ranges(starts, counts)
+                row = np.repeat(np.arange(low, low + len(own)), counts)
+                x, y = (mixed(flat, (1, 2, 4, 8, 16, 16, 2), salt)[place].view(np.int64) for salt in (0, 77))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name[row], t[row], at[row] + place - starts[row - low], x, y)], names=["doc_id", "t", "a", "x", "y"])
+
+    windows = cut.select("doc_id", "t", "at", "s").mapInArrow(run, "doc_id long, t long, a long, x long, y long")
+    least = windows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    return windows.join(least, ["x", "y"]).filter("least < doc_id").select("doc_id", "t", "a", (F.col("a") + MATCH).alias("b"))
+
+
+def repeat_spans(reps: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
+    """(doc_id, t, a, b): bytes of the texts ``reps`` (doc_id, t, raw) that windows shared with a smaller doc_id cover.
+
+    Equal windows have equal seeds, so all holders of a window are in one bucket. Seeds of one segment in all texts
+    can't be shared, so their text is never shuffled. Equal segments are combined before they are shuffled: a passage
+    with any number of copies is one row in its bucket, and only its first holder is streamed against earlier ones.
+    """
+    spark = reps.sparkSession
+    shared = materialize(seeds(reps).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seeds")
+    cut = materialize(segments(reps, bit_filter(shared, "bucket")), "segments")
+    cut = cut.withColumn("sh", F.xxhash64("s"))
+    # so many segments at least have more than the bytes of a batch
+    heavy = shared.filter(F.col("n") * (MOST_WINDOWS + MATCH) > batch_bytes).select("bucket")
+    sizes = cut.join(heavy, "bucket", "left_semi").groupBy("bucket", "sh").agg(F.max(F.length("s")).alias("size"))
+    wide = materialize(sizes.groupBy("bucket").agg(F.sum("size").alias("size")).filter(F.col("size") > batch_bytes).select("bucket"), "wide")
+    narrow = cut.join(wide, "bucket", "left_anti")
+    distinct = narrow.groupBy("bucket", "s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("sh", F.xxhash64("s"))
+    marks = materialize(first_matches(distinct, batch_bytes), "marks")
+    found = narrow.select("bucket", "sh", "doc_id", "t", "at", (F.length("s") - MATCH + 1).alias("n")).join(marks, ["bucket", "sh"]).filter("doc_id > first or mask is not null")
+    return removed_spans(found).union(wide_spans(cut.join(wide, "bucket", "left_semi")))
+
+
+def without_repeats(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes left) of every document.
 
     A byte goes if a ``MATCH``-byte string that covers it also starts in a document with a smaller doc_id, all judged
-    on the input. Equal segments are combined before they are shuffled, so a passage with any number of copies is one
-    row in its bucket; buckets hold distinct segments only. Buckets of over ``BATCH`` bytes, copies counted, are dealt on
-    by whole windows, so no task holds one of them.
+    on the input. Of equal texts only that with the smallest doc_id is searched: the others hold nothing new.
 
     Null texts are empty. Documents without a doc_id come after all others and not before each other; rows with one
     doc_id don't remove each other's bytes. An empty table gives none. Other columns are not read.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    every = segments(rows)
-    # at most as many as there are ``BATCH`` bytes of segments
-    wide = materialize(every.groupBy("bucket").agg(F.sum(F.length("s")).alias("size")).filter(F.col("size") > BATCH).select("bucket"), "wide")
-    cut = every.join(F.broadcast(wide), "bucket", "left_anti")
-    distinct = cut.groupBy("bucket", "s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("sh", F.xxhash64("s"))
-    marks = materialize(first_holders(distinct), "marks")
-    found = cut.select("bucket", F.xxhash64("s").alias("sh"), "doc_id", "t", "at").join(marks, ["bucket", "sh"]).select("doc_id", "t", "at", "mins")
-    spans = removed_spans(found).union(wide_spans(every.join(F.broadcast(wide), "bucket", "left_semi"))).distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    t, u = two_hashes(F.col("text"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.coalesce(t, F.lit(0)).alias("t"), F.coalesce(u, F.lit(0)).alias("u"))
+    copies = rows.groupBy("t", "u").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(F.col("t").alias("_t"), F.col("u").alias("_u"), "first")
+    copies = materialize(copies, "copies")
+    spark = docs.sparkSession
+    words = spark.sparkContext.broadcast(bit_filter(copies, "_t"))
+    rows = rows.withColumn("maybe", in_filter(words)("t"))
+    joined = rows.filter("maybe").join(copies, (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u")), "left").withColumn("copy", F.coalesce(F.col("name") > F.col("first"), F.lit(False)))
+    names = ["doc_id", "name", "t", "raw", "copy"]
+    every = joined.select(*names).union(rows.filter("not maybe").select("doc_id", "name", "t", "raw", F.lit(False)))
+    reps = every.filter("not copy").select(F.col("name").alias("doc_id"), "t", "raw")
+    spans = repeat_spans(reps, batch_bytes).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("_of"), F.col("t").alias("_t"), "spans"), "spans")
-    joined = rows.join(spans, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_of")) & (F.col("t") == F.col("_t")), "left")
+    held = spark.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("_of", "_t").alias("x")), "x"))
+    every = every.withColumn("maybe", ~F.col("copy") & in_filter(held)(F.xxhash64("name", "t")))
+    with_spans = every.filter("maybe").join(spans, (F.col("name") == F.col("_of")) & (F.col("t") == F.col("_t")), "left")
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    # a copy goes whole, if it has a window at all
+    whole = F.when(F.col("copy") & (F.length("raw") >= MATCH), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("raw").cast("long").alias("b"))))
+    out = with_spans.select("doc_id", "raw", "spans").union(every.filter("not maybe").select("doc_id", "raw", F.coalesce(whole, none)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, kept, end, n = (text or "").encode(), [], 0, 0
+            for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kept, end, n = [], 0, 0
                 for s in found or []:
                     if s["a"] > end or not n:
                         kept.append(raw[end : s["a"]])
@@ -179,4 +293,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def in_filter(words):
+    """A function of a hash column: whether the broadcast filter may hold it."""
+    @F.pandas_udf("boolean")
+    def held(x: pd.Series) -> pd.Series:
+        bits = words.value
+        spot = x.to_numpy(np.int64) & (64 * len(bits) - 1)
+        return pd.Series((bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return held
