@@ -14,10 +14,10 @@ from .common import bit_filter, materialize, parallelism, two_hashes
 from .runindex import SEPARATOR, RunIndex, ranges
 
 #: Bytes of a match, and of the strings (seeds) whose hash deals windows of that size into buckets.
-MATCH, SEED = 50, 16
+MATCH, SEED = 50, 24
 #: Bytes of segments that are indexed at once; buckets with more different ones are dealt on. Windows of a segment, and
 #: bytes of text that are cut at once.
-BATCH, MOST_WINDOWS, PIECE = 2_000_000, 256, 1 << 18
+BATCH, MOST_WINDOWS, PIECE = 1_000_000, 256, 1 << 18
 LAST = (1 << 63) - 1  # stands for no doc_id: such documents come after all others
 
 
@@ -32,11 +32,11 @@ def mixed(text: np.ndarray, sizes: tuple[int, ...], salt: int = 0) -> np.ndarray
 
 def window_seeds(text: np.ndarray) -> np.ndarray:
     """The least hash of the ``SEED``-byte strings in each ``MATCH``-byte window; equal windows have equal ones."""
-    h = mixed(text, (1, 2, 4, 8))
-    for size in (1, 2, 4, 8, 16):
-        h = np.minimum(h[:-size], h[size:])
-    rest = MATCH - SEED + 1 - 32
-    return np.minimum(h[:-rest], h[rest:])
+    h, size = mixed(text, (1, 2, 4, 8, SEED - 16)), 1
+    while 2 * size <= MATCH - SEED + 1:
+        h, size = np.minimum(h[:-size], h[size:]), 2 * size
+    rest = MATCH - SEED + 1 - size
+    return np.minimum(h[: len(h) - rest], h[rest:])
 
 
 class Cut:
@@ -145,7 +145,8 @@ def first_matches(distinct: DataFrame, batch_bytes: int) -> DataFrame:
     """(bucket, sh, first, mask): of the different segments of each bucket those that a further document holds, or of
     which a smaller doc_id than ``first`` holds windows: these are the bits of ``mask``.
 
-    A task holds whole buckets, ``batch_bytes`` at a time.
+    A task holds whole buckets, ``batch_bytes`` at a time and one bucket more at most, itself no larger: an index takes
+    twice ``BATCH``.
     """
 
     def matched(columns: list[list]) -> pa.RecordBatch:
