@@ -83,8 +83,10 @@ class RunIndex:
         if len(text) >= 1 << PLACE_BITS:
             raise ValueError(f"an index holds under {1 << PLACE_BITS} bytes, not {len(text)}")
         group = group.astype(np.int64)
-        self.words = words(np.concatenate((text, np.full(REACH, SEPARATOR, np.uint8))))
-        places = suffix_array(text, group, self.words[: len(text)])
+        padded = np.concatenate((text, np.full(REACH + 8, SEPARATOR, np.uint8)))
+        # the eight bytes from each place on, without a copy
+        self.words = np.ndarray(len(text) + REACH + 1, "<u8", padded.data, strides=(1,))
+        places = suffix_array(text, group, words(text))
         before = np.where(places > 0, text[places - 1], np.uint8(SEPARATOR))
         # places are sorted by group, so rows have the groups of the text
         new = np.concatenate(([True], (before[1:] != before[:-1]) | (group[1:] != group[:-1])))
@@ -102,17 +104,20 @@ class RunIndex:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the text has in common from places ``a`` and ``b`` on, up to ``REACH``."""
+        apart = self.words[a] ^ self.words[b]
         out = np.zeros(len(a), np.int64)
-        open_ = np.arange(len(a))
-        for k in range(0, REACH, 8):
-            apart = self.words[np.minimum(a[open_] + k, len(self.words) - 1)] ^ self.words[np.minimum(b[open_] + k, len(self.words) - 1)]
-            far = apart != 0
-            x = apart[far]
-            out[open_[far]] = k + sum(((x < np.uint64(1 << (8 * j))).astype(np.int64) for j in range(1, 8)), np.zeros(len(x), np.int64))
-            open_ = open_[~far]
-            if not len(open_):
-                return out
-        out[open_] = REACH
+        more = np.flatnonzero(apart == 0)
+        if len(more):
+            step = np.arange(8, REACH, 8)
+            rest = self.words[a[more][:, None] + step] ^ self.words[b[more][:, None] + step]
+            far = rest != 0
+            k = far.argmax(axis=1)
+            apart[more] = rest[np.arange(len(more)), k]
+            out[more] = np.where(far.any(axis=1), 8 * (k + 1), REACH)
+        # the lowest bit that differs is a power of two, so its logarithm is exact
+        far = np.flatnonzero(apart)
+        x = apart[far]
+        out[far] += np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3
         return out
 
     def matching_statistics(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -148,9 +153,9 @@ class RunIndex:
                 has_above = (p > 0) & (self.by_symbol[above] >= base)
                 has_below = (p < len(self.order)) & (self.by_symbol[below] < base + self.stride)
                 up, down = self.order[above], self.order[below]
-                near = np.full((2, len(other)), -1, np.int64)
-                near[0, has_above] = self.common(was[has_above], self.last[up[has_above]])
-                near[1, has_below] = self.common(was[has_below], self.first[down[has_below]])
+                near = self.common(np.concatenate((was, was)), np.concatenate((self.last[up], self.first[down]))).reshape(2, -1)
+                near[0, ~has_above] = -1
+                near[1, ~has_below] = -1
                 use_up, none = near[0] > near[1], ~(has_above | has_below)
                 best = np.maximum(near[0], near[1])
                 row[other] = np.where(none, row_was, np.where(use_up, self.lead[up] + self.size[up] - 1, self.lead[down]))

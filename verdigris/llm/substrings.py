@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, materialize, parallelism, two_hashes
-from .runindex import SEPARATOR, RunIndex, ranges
+from .runindex import PLACE_BITS, SEPARATOR, RunIndex, ranges
 
 #: Bytes of a match, and of the strings (seeds) whose hash deals windows of that size into buckets.
 MATCH, SEED = 50, 24
 #: Bytes of segments that are indexed at once; buckets with more different ones are dealt on. Windows of a segment, and
 #: bytes of text that are cut at once.
-BATCH, MOST_WINDOWS, PIECE = 1_000_000, 256, 1 << 18
+BATCH, MOST_WINDOWS, PIECE = 500_000, 256, 1 << 18
 LAST = (1 << 63) - 1  # stands for no doc_id: such documents come after all others
 
 
@@ -120,24 +120,36 @@ def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buc
     new_doc = new_bucket | np.concatenate(([True], first[1:] != first[:-1]))
     number = np.cumsum(new_doc)
     number -= number[np.maximum.accumulate(np.where(new_bucket, np.arange(len(bucket)), 0))]
-    own, hit, bit = np.cumsum(new_bucket), np.zeros(len(flat), bool), 0
+    own, hit = np.cumsum(new_bucket), np.zeros(len(flat), bool)
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def search() -> None:
+        """All splits held, in one index: each node of each is a group of its own."""
+        indexed, group, read, among = (np.concatenate(x) for x in zip(*held))
+        size = sizes[indexed] + 1
+        text = np.full(int(size.sum()), SEPARATOR, np.uint8)
+        text[ranges(np.cumsum(size) - size, size - 1)] = flat[ranges(starts[indexed], size - 1)]
+        index = RunIndex(text, np.repeat(group, size))
+        part, place = ranges(starts[read], sizes[read]), np.cumsum(sizes[read]) - sizes[read]
+        # a segment is streamed in several splits
+        hit[part[index.matching_statistics(flat[part], place, sizes[read], among) >= MATCH]] = True
+
+    bit, groups, total = 0, 0, 0
     while (number >> bit).any():
         high = number >> (bit + 1)
-        node = np.cumsum(np.concatenate(([False], (own[1:] != own[:-1]) | (high[1:] != high[:-1]))))
+        node = groups + np.cumsum(np.concatenate(([False], (own[1:] != own[:-1]) | (high[1:] != high[:-1]))))
         later = (number >> bit & 1) == 1
         with_both = np.zeros(int(node[-1]) + 1, bool)
         with_both[node[later]] = True
-        indexed, read = ~later & with_both[node], np.flatnonzero(later)
-        # each text of the index with its separator
-        size = sizes[indexed] + 1
-        text = np.full(int(size.sum()), SEPARATOR, np.uint8)
-        at = np.cumsum(size) - size
-        text[ranges(at, size - 1)] = flat[ranges(starts[indexed], size - 1)]
-        index = RunIndex(text, np.repeat(node[indexed], size))
-        part = ranges(starts[read], sizes[read])
-        place = np.cumsum(sizes[read]) - sizes[read]
-        hit[part] |= index.matching_statistics(flat[part], place, sizes[read], node[read]) >= MATCH
-        bit += 1
+        indexed, read = np.flatnonzero(~later & with_both[node]), np.flatnonzero(later)
+        size = int((sizes[indexed] + 1).sum())
+        if held and total + size >= 1 << PLACE_BITS:
+            search()
+            held, total = [], 0
+        held.append((indexed, node[indexed], read, node[read]))
+        bit, groups, total = bit + 1, int(node[-1]) + 1, total + size
+    if held:
+        search()
     return hit
 
 
