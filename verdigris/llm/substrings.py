@@ -90,18 +90,21 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select("raw").mapInArrow(run, "bucket long")
 
 
-def segments(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(bucket, doc_id, t, at, s): the segments whose seeds may be shared, as the filter ``words`` says; each has all
-    bytes of its windows, so segments overlap."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the filter ``bits`` may hold the hashes ``x``."""
+    spot = x & (64 * len(bits) - 1)
+    return (bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def segments(docs: DataFrame, words, heavy_words, heavy: bool) -> DataFrame:
+    """(bucket, doc_id, t, at, s): the segments whose seeds may be shared, as the broadcast filter ``words`` says, and
+    may be (``heavy``) or are not (else) in ``heavy_words``; each has all bytes of its windows, so segments overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             name, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for cut in cuts(batch.column(2).to_pylist()):
-                spot = cut.seed & (64 * len(bits) - 1)
-                use = np.flatnonzero(bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1))
+                use = np.flatnonzero(has(words.value, cut.seed) & (has(heavy_words.value, cut.seed) == heavy))
                 own = cut.owner[use]
                 yield pa.RecordBatch.from_arrays([pa.array(cut.seed[use]), pa.array(name[own]), pa.array(t[own]), pa.array(cut.at[use]), binaries(cut.flat, cut.start[use], cut.windows[use] + MATCH - 1)], names=["bucket", "doc_id", "t", "at", "s"])
 
@@ -153,67 +156,111 @@ def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buc
     return hit
 
 
-def first_matches(distinct: DataFrame, batch_bytes: int) -> DataFrame:
-    """(bucket, sh, first, mask): of the different segments of each bucket those that a further document holds, or of
-    which a smaller doc_id than ``first`` holds windows: these are the bits of ``mask``.
+def whole_buckets(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[list[list]]:
+    """The columns of the rows (bucket first, segment last; in the order of buckets), ``batch_bytes`` of segments at a
+    time and one bucket more at most: an index takes twice ``BATCH``."""
+    held: list[list] | None = None
+    size = 0
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held is None or size >= batch_bytes and row[0] != held[0][-1]:
+                if held is not None:
+                    yield held
+                held, size = [[] for _ in row], 0
+            for column, value in zip(held, row):
+                column.append(value)
+            size += len(row[-1])
+    if held is not None:
+        yield held
+
+
+def stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true values start and end."""
+    edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_batch(name: np.ndarray, t: np.ndarray, at: np.ndarray, windows: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
+    """Spans of segments whose matched windows are true in ``hit``, ``windows`` each. A run may go on from one segment
+    to the next: it is cut there, as the other is elsewhere."""
+    starts = np.cumsum(windows) - windows
+    own = np.repeat(np.arange(len(windows)), windows)
+    # a false place between segments
+    apart = np.zeros(len(hit) + len(windows), bool)
+    apart[np.arange(len(hit)) + own] = hit
+    low, high = stretches(apart)
+    own = np.searchsorted(starts + np.arange(len(windows)), low, "right") - 1
+    base = at[own] - starts[own] - own
+    return pa.RecordBatch.from_arrays([pa.array(name[own]), pa.array(t[own]), pa.array(base + low), pa.array(base + high - 1 + MATCH)], names=["doc_id", "t", "a", "b"])
+
+
+SPANS = "doc_id long, t long, a long, b long"
 
-    A task holds whole buckets, ``batch_bytes`` at a time and one bucket more at most, itself no larger: an index takes
-    twice ``BATCH``.
-    """
 
-    def matched(columns: list[list]) -> pa.RecordBatch:
-        bucket, sh, first, last = (np.array(c, np.int64) for c in columns[:4])
-        parts = columns[4]
-        order = np.lexsort((first, bucket))
-        sizes = np.array([len(parts[i]) for i in order])
-        flat = np.frombuffer(b"".join([parts[i] for i in order]), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        hit = earlier_matches(flat, starts, sizes, bucket[order], first[order])
-        any_hit = np.logical_or.reduceat(hit, starts)
-        use = np.flatnonzero(any_hit | (first[order] < last[order]))
-        masks = [np.packbits(hit[a : a + n - MATCH + 1]).tobytes() if x else None for a, n, x in zip(starts[use].tolist(), sizes[use].tolist(), any_hit[use].tolist())]
-        own = order[use]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(sh[own]), pa.array(first[own]), pa.array(masks, pa.binary())], names=["bucket", "sh", "first", "mask"])
+def bucket_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(parallelism(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def light_spans(cut: DataFrame, batch_bytes: int) -> DataFrame:
+    """(doc_id, t, a, b): the bytes from a to b of a document whose windows a smaller doc_id holds, by buckets that have
+    so few segments that each task holds whole ones. Equal segments of a bucket are indexed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(5)]
-        size = 0
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if size >= batch_bytes and row[0] != held[0][-1]:
-                    yield matched(held)
-                    held, size = [[] for _ in range(5)], 0
-                for column, value in zip(held, row):
-                    column.append(value)
-                size += len(row[4])
-        if held[0]:
-            yield matched(held)
+        for columns in whole_buckets(batches, batch_bytes):
+            bucket, name, t, at = (np.array(c, np.int64) for c in columns[:4])
+            parts = columns[4]
+            order = np.lexsort((name, bucket)).tolist()
+            seen: dict[tuple[int, bytes], int] = {}
+            same, heads = np.empty(len(parts), np.int64), []
+            for i in order:
+                k = seen.setdefault((columns[0][i], parts[i]), len(heads))
+                if k == len(heads):
+                    heads.append(i)
+                same[i] = k
+            sizes = np.array([len(parts[i]) for i in heads])
+            starts = np.cumsum(sizes) - sizes
+            hit = earlier_matches(np.frombuffer(b"".join([parts[i] for i in heads]), np.uint8), starts, sizes, bucket[heads], name[heads])
+            windows = sizes[same] - MATCH + 1
+            own = hit[ranges(starts[same], windows)]
+            own |= np.repeat(name > name[np.array(heads)][same], windows)
+            yield span_batch(name, t, at, windows, own)
+
+    return bucket_order(cut).select("bucket", "doc_id", "t", "at", "s").mapInArrow(run, SPANS)
 
-    rows = distinct.repartition(parallelism(distinct.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return rows.select("bucket", "sh", "first", "last", "s").mapInArrow(run, "bucket long, sh long, first long, mask binary")
+
+def first_matches(distinct: DataFrame, batch_bytes: int) -> DataFrame:
+    """(bucket, sh, first, mask): of the different segments of each bucket those that a further document holds, or of
+    which a smaller doc_id than ``first`` holds windows: these are the bits of ``mask``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_buckets(batches, batch_bytes):
+            bucket, sh, first, last = (np.array(c, np.int64) for c in columns[:4])
+            parts = columns[4]
+            order = np.lexsort((first, bucket))
+            sizes = np.array([len(parts[i]) for i in order])
+            starts = np.cumsum(sizes) - sizes
+            hit = earlier_matches(np.frombuffer(b"".join([parts[i] for i in order]), np.uint8), starts, sizes, bucket[order], first[order])
+            any_hit = np.logical_or.reduceat(hit, starts)
+            use = np.flatnonzero(any_hit | (first[order] < last[order]))
+            masks = [np.packbits(hit[a : a + n - MATCH + 1]).tobytes() if x else None for a, n, x in zip(starts[use].tolist(), sizes[use].tolist(), any_hit[use].tolist())]
+            own = order[use]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(sh[own]), pa.array(first[own]), pa.array(masks, pa.binary())], names=["bucket", "sh", "first", "mask"])
+
+    return bucket_order(distinct).select("bucket", "sh", "first", "last", "s").mapInArrow(run, "bucket long, sh long, first long, mask binary")
 
 
 def removed_spans(found: DataFrame) -> DataFrame:
-    """(doc_id, t, a, b): the bytes from a to b of a document whose windows a smaller doc_id holds: all of a segment that
-    it isn't the first to hold, else those of the mask."""
+    """(doc_id, t, a, b) as of ``light_spans``: all of a segment that it isn't the first to hold, else those of the mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for name, t, at, n, first, mask in zip(*[c.to_pylist() for c in batch.columns]):
-                if name > first:
-                    stretches = [(at, at + n + MATCH - 1)]
-                elif mask is None:
-                    continue
-                else:
-                    hit = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n))
-                    stretches = [(at + int(x[0]), at + int(x[-1]) + MATCH) for x in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)]
-                for a, b in stretches:
-                    for column, value in zip(out, (name, t, a, b)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "t", "a", "b"])
-
-    return found.select("doc_id", "t", "at", "n", "first", "mask").mapInArrow(run, "doc_id long, t long, a long, b long")
+            name, t, at, windows, first = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            masks = batch.column(5).to_pylist()
+            hit = [np.ones(n, bool) if later else np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for n, later, m in zip(windows.tolist(), (name > first).tolist(), masks)]
+            if hit:
+                yield span_batch(name, t, at, windows, np.concatenate(hit))
+
+    return found.select("doc_id", "t", "at", "n", "first", "mask").mapInArrow(run, SPANS)
 
 
 def wide_spans(cut: DataFrame) -> DataFrame:
@@ -242,22 +289,24 @@ def repeat_spans(reps: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     """(doc_id, t, a, b): bytes of the texts ``reps`` (doc_id, t, raw) that windows shared with a smaller doc_id cover.
 
     Equal windows have equal seeds, so all holders of a window are in one bucket. Seeds of one segment in all texts
-    can't be shared, so their text is never shuffled. Equal segments are combined before they are shuffled: a passage
-    with any number of copies is one row in its bucket, and only its first holder is streamed against earlier ones.
+    can't be shared, so their text is never shuffled. Buckets of so few segments that they fit a batch go to tasks as
+    they are. In others equal segments are combined before they are shuffled: a passage with any number of copies is
+    one row in its bucket, and only its first holder is streamed against earlier ones. If different segments alone are
+    more than a batch, windows are compared one by one.
     """
     spark = reps.sparkSession
     shared = materialize(seeds(reps).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seeds")
-    cut = materialize(segments(reps, bit_filter(shared, "bucket")), "segments")
-    cut = cut.withColumn("sh", F.xxhash64("s"))
-    # so many segments at least have more than the bytes of a batch
     heavy = shared.filter(F.col("n") * (MOST_WINDOWS + MATCH) > batch_bytes).select("bucket")
-    sizes = cut.join(heavy, "bucket", "left_semi").groupBy("bucket", "sh").agg(F.max(F.length("s")).alias("size"))
-    wide = materialize(sizes.groupBy("bucket").agg(F.sum("size").alias("size")).filter(F.col("size") > batch_bytes).select("bucket"), "wide")
-    narrow = cut.join(wide, "bucket", "left_anti")
-    distinct = narrow.groupBy("bucket", "s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("sh", F.xxhash64("s"))
-    marks = materialize(first_matches(distinct, batch_bytes), "marks")
-    found = narrow.select("bucket", "sh", "doc_id", "t", "at", (F.length("s") - MATCH + 1).alias("n")).join(marks, ["bucket", "sh"]).filter("doc_id > first or mask is not null")
-    return removed_spans(found).union(wide_spans(cut.join(wide, "bucket", "left_semi")))
+    words, heavy_words = (spark.sparkContext.broadcast(bit_filter(x, "bucket")) for x in (shared, heavy))
+    light = materialize(light_spans(segments(reps, words, heavy_words, False), batch_bytes), "light")
+    if heavy.isEmpty():
+        return light
+    cut = materialize(segments(reps, words, heavy_words, True), "segments").withColumn("sh", F.xxhash64("s"))
+    distinct = materialize(cut.groupBy("bucket", "s").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("sh", F.xxhash64("s")), "distinct")
+    wide = materialize(distinct.groupBy("bucket").agg(F.sum(F.length("s")).alias("size")).filter(F.col("size") > batch_bytes).select("bucket"), "wide")
+    marks = materialize(first_matches(distinct.join(wide, "bucket", "left_anti"), batch_bytes), "marks")
+    found = cut.select("bucket", "sh", "doc_id", "t", "at", (F.length("s") - MATCH + 1).alias("n")).join(marks, ["bucket", "sh"]).filter("doc_id > first or mask is not null")
+    return light.union(removed_spans(found)).union(wide_spans(cut.join(wide, "bucket", "left_semi")))
 
 
 def without_repeats(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
@@ -313,8 +362,6 @@ def in_filter(words):
     """A function of a hash column: whether the broadcast filter may hold it."""
     @F.pandas_udf("boolean")
     def held(x: pd.Series) -> pd.Series:
-        bits = words.value
-        spot = x.to_numpy(np.int64) & (64 * len(bits) - 1)
-        return pd.Series((bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+        return pd.Series(has(words.value, x.to_numpy(np.int64)))
 
     return held
