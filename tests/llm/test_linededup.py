@@ -12,7 +12,11 @@ def distance(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
-def slow(data, edits=2, least=24):
+def allowed(size):
+    return 2 if size >= 24 else 1 if size >= 12 else 0
+
+
+def slow(data):
     lines = sorted({(d is None, d or 0, p, line) for d, text, *_ in data if text for p, line in enumerate(text.split("\n")) if line.strip(" \t\n\x0b\x0c\r")})
     gone = {}
     for k, (u, d, p, line) in enumerate(lines):
@@ -24,7 +28,8 @@ def slow(data, edits=2, least=24):
             if own == other:
                 gone[u, d, p, line] = "equal"
                 break
-            if min(len(own), len(other)) >= least and abs(len(own) - len(other)) <= edits and distance(own, other) <= edits:
+            edits = allowed(min(len(own), len(other)))
+            if edits and abs(len(own) - len(other)) <= edits and distance(own, other) <= edits:
                 gone[u, d, p, line] = "near"
     out = []
     for d, text, *_ in data:
@@ -62,14 +67,18 @@ def test_edit_distance(spark):
 
 
 def test_near_lines_match_brute_force(spark):
+    from pyspark.sql import functions as F
     from verdigris.llm.linededup import dedup_lines
 
     rng, data = random.Random(5), cases.rows(20)
     base = [cases.prose(i, 14).replace("\n", " ") for i in range(12)]
     for i in range(60):
         data.append((100 + i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(3)), "en", "s", 1))
+    short = [cases.prose(i, 3).replace("\n", " ")[:n] for i in range(6) for n in (10, 12, 17, 23, 24, 25)]
+    for i in range(60):
+        data.append((200 + i, "\n".join(edited(rng, rng.choice(short), rng.randint(0, 3)).replace("é", "") for _ in range(3)), "en", "s", 1))
     data += [(300, "short\nline\n\nshort", "en", "s", 1), (301, "", "en", "s", 1), data[30], (None, base[0], None, None, None)]
-    docs = cases.clashing(cases.table(spark, data)).withColumnRenamed("copies", "t")
+    docs = cases.clashing(cases.table(spark, data)).withColumnRenamed("copies", "t").withColumn("_of", F.lit(1)).withColumn("_text", F.lit(2))
     got = dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_equal", "n_near"]
     assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_equal, r.n_near) for r in got.collect()), key=str) == slow(data)
@@ -80,7 +89,7 @@ def test_large_groups(spark, monkeypatch):
     """Many lines with a common segment, near and not, over several blocks."""
     from verdigris.llm import linededup
 
-    monkeypatch.setattr(linededup.near_pairs, "__defaults__", (2, 16))
+    monkeypatch.setattr(linededup.near_later, "__defaults__", (linededup.EDITS, 16))
     rng = random.Random(8)
     head = cases.prose(1, 8).replace("\n", " ")
     data = [(i, head + " " + "".join(rng.choice("abcdefgh") for _ in range(12)), "en", "s", 1) for i in range(60)]
@@ -88,3 +97,27 @@ def test_large_groups(spark, monkeypatch):
     data += [(900 + i, f"{head} number {i:04d}", "en", "s", 1) for i in range(50)]
     got = linededup.dedup_lines(cases.table(spark, data)).collect()
     assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_equal, r.n_near) for r in got), key=str) == slow(data)
+
+
+def test_trimmed_distance(spark):
+    from pyspark.sql import functions as F
+    from verdigris.llm.linededup import within
+
+    rng, data = random.Random(9), []
+    for i in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(3, 40)))
+        data.append((a.encode(), edited(rng, a, rng.randint(0, 4)).replace("é", "").encode()))
+    rows = spark.createDataFrame(data, "a binary, b binary").select("a", "b", *[within(F.col("a"), F.col("b"), k).alias(f"w{k}") for k in (1, 2)])
+    for r in rows.collect():
+        assert (r.w1, r.w2) == tuple(distance(bytes(r.a), bytes(r.b)) <= k for k in (1, 2)), r
+
+
+def test_one_row_a_line_however_many_are_near(spark):
+    from pyspark.sql import functions as F
+    from verdigris.llm import linededup
+
+    head = cases.prose(1, 30).replace("\n", " ")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(head), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit(head)).alias("text"))
+    rows = linededup.line_rows(docs)
+    classes = rows.groupBy("h", "g").agg(F.min("place").alias("first"))
+    assert linededup.near_later(classes, rows.select("h", "g", "bytes")).count() == 99

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,43 +10,107 @@ from pyspark.sql import functions as F
 
 from .common import fresh, mark_maybe, materialize, maybe_in
 
-#: Edits of UTF-8 bytes within which lines are near, and the bytes from which on lines are compared so; shorter ones
-#: count only if they are equal.
-EDITS, LEAST_BYTES = 2, 24
+#: Edits of UTF-8 bytes within which lines are near, by the bytes that the shorter has at least; still shorter lines count
+#: only if they are equal, as two edits make any word of four letters another.
+EDITS = ((24, 2), (12, 1))
 #: Lines of a key that one task compares; a larger group is compared block by block.
-BLOCK = 1024
-#: Bytes whose counts tell most lines with a common segment apart: a space and frequent letters.
-COUNTED = " etnahir"
+BLOCK = 4096
+#: Kinds of characters whose counts tell most lines with a common segment apart.
+COUNTED = (" ", "e", "t", "[ac]", "[io]", "[ns]", "[rh]", "[dlu]", "[A-Z]", "[0-4]", "[5-9]", "[!-/:-@]")
 
 
-def cuts(line: Column, edits: int) -> list[tuple[int, Column, Column, Column]]:
-    """(segment, length of the partitioned string, start from 1, size) of each substring that ``line`` looks up.
+def cuts(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, segment, bytes that the partitioned string is shorter by, shift) of each substring that a line looks up.
 
     A string of m bytes is cut into ``edits + 1`` even segments. One within ``edits`` of it holds one of them unchanged
-    with at most i edits before segment i and the others after it, which bounds how far it has moved. ``line`` takes its
-    own segments and those that shorter strings may have; longer ones look up ``line``'s.
+    with at most i edits before segment i and the others after it, which bounds how far it has moved. A line takes its
+    own segments and those that shorter strings may have; longer ones look up the line's.
     """
-    n, out = F.length(line), []
+    out = []
     for less in range(edits + 1):
-        m = n - less
         for i in range(edits + 1):
-            start = F.floor(m * i / (edits + 1)).cast("int")
-            size = F.floor(m * (i + 1) / (edits + 1)).cast("int") - start
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            # a segment's own place first
-            out += [(i, m, start + 1 + shift, size) for shift in sorted(range(low, high + 1), key=abs)]
+            out += [(edits, i, less, shift) for shift in range(low, high + 1)]
     return out
 
 
-def keys(line: Column, edits: int) -> Column:
-    return F.array_distinct(F.array(*[F.xxhash64(F.lit(i), m, F.substring(line, at, size)) for i, m, at, size in cuts(line, edits)]))
+def keys(line: Column, edits: Sequence[tuple[int, int]] = EDITS) -> Column:
+    """Hashes of all substrings that the binary ``line`` looks up under the bounds that may hold for it and a partner:
+    under its own bound, and under the next one too while a shorter partner may be.
 
+    One lambda over a small table: written out they make a method too long for the virtual machine to compile.
+    """
+    tables = [cuts(most) for _, most in edits]
+    names = ("edits", "i", "less", "shift")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for t in tables for row in t])
+    sizes = [len(t) for t in tables]
+    start, count = F.lit(sum(sizes) + 1), F.lit(0)
+    for k in range(len(edits) - 1, -1, -1):
+        at_least = F.length(line) >= edits[k][0]
+        both = at_least & (F.length(line) < edits[k][0] + edits[k + 1][1]) if k + 1 < len(edits) else F.lit(False)
+        start = F.when(at_least, F.lit(sum(sizes[:k]) + 1)).otherwise(start)
+        count = F.when(both, F.lit(sum(sizes[k : k + 2]))).when(at_least, F.lit(sizes[k])).otherwise(count)
+
+    def key(s: Column, p: Column) -> Column:
+        m, parts = s["n"] - p["less"], p["edits"] + 1
+        at = lambda i: (m * i / parts).cast("int")
+        return F.xxhash64(p["edits"], p["i"], m, F.substring(s["line"], at(p["i"]) + 1 + p["shift"], at(p["i"] + 1) - at(p["i"])))
+
+    bound_once = F.array(F.struct(line.alias("line"), F.length(line).alias("n"), F.slice(table, start, count).alias("table")))
+    return F.get(F.transform(bound_once, lambda s: F.transform(s["table"], lambda p: key(s, p))), F.lit(0))
+
+
+def bound(size: Column, edits: Sequence[tuple[int, int]] = EDITS) -> Column:
+    """Edits within which a line of ``size`` bytes and a longer one are near."""
+    out = F.lit(0)
+    for least, most in reversed(edits):
+        out = F.when(size >= least, F.lit(most)).otherwise(out)
+    return out
 
-def letter_counts(line: Column) -> list[Column]:
+
+def counts(line: Column) -> list[Column]:
     """How often each of ``COUNTED`` is in ``line``. An edit takes away one byte and adds one at most, so near lines
-    differ by ``2 * edits`` in all of these together at most."""
-    text = F.decode(line, "ISO-8859-1")
-    return [F.length(text) - F.length(F.translate(text, c, "")) for c in COUNTED]
+    differ by twice their edits in all of these together at most."""
+    return [F.regexp_count(F.decode(line, "ISO-8859-1"), F.lit(c)) for c in COUNTED]
+
+
+def common_bytes(a: Column, b: Column, ends: bool) -> Column:
+    """How many bytes ``a`` and ``b`` have in common at their starts (``ends``: at their ends), by halving steps; with
+    over twice 4096 some of them."""
+    steps = F.array(*[F.lit(1 << i) for i in range(12, -1, -1)])
+
+    def further(k: Column, step: Column) -> Column:
+        part = lambda x: F.substring(x, F.length(x) - k - step + 1, step) if ends else F.substring(x, k + 1, step)
+        return k + F.when((k + step <= F.least(F.length(a), F.length(b))) & (part(a) == part(b)), step).otherwise(F.lit(0))
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether binary ``a`` and ``b`` are within ``edits``, which cut out what they have in common at either end first;
+    what is left is as far apart."""
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def inner(s: Column) -> Column:
+        cut = lambda x: F.substring(x, s["k"] + 1, F.length(x) - s["k"])
+        return bind(F.struct(cut(s["a"]).alias("a"), cut(s["b"]).alias("b")), tail)
+
+    def tail(s: Column) -> Column:
+        return bind(F.struct(s["a"].alias("a"), s["b"].alias("b"), common_bytes(s["a"], s["b"], True).alias("k")), last)
+
+    def last(s: Column) -> Column:
+        cut = lambda x: F.substring(x, 1, F.length(x) - s["k"])
+        return bind(F.struct(cut(s["a"]).alias("a"), cut(s["b"]).alias("b")), left)
+
+    def left(s: Column) -> Column:
+        small = F.least(F.length(s["a"]), F.length(s["b"])) <= edits
+        items = lambda x: F.split(F.decode(x, "ISO-8859-1"), "")
+        # so short a rest has no band: Spark's own distance of a few characters
+        short = F.levenshtein(F.decode(s["a"], "ISO-8859-1"), F.decode(s["b"], "ISO-8859-1")) <= edits
+        far = F.abs(F.length(s["a"]) - F.length(s["b"])) > edits
+        return F.when(far, F.lit(False)).when(small, short).otherwise(edit_distance(items(s["a"]), items(s["b"]), edits) <= edits)
+
+    return bind(F.struct(a.alias("a"), b.alias("b"), common_bytes(a, b, False).alias("k")), inner)
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
@@ -92,75 +157,74 @@ def banded(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(matches, start, step, lambda s: s["score"])
 
 
-def near_pairs(lines: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): hashes of ``lines`` (h, bytes) that hold all pairs within ``edits``, and some further ones.
+def near_later(classes: DataFrame, rows: DataFrame, edits: Sequence[tuple[int, int]] = EDITS, block: int = BLOCK) -> DataFrame:
+    """(h, g) of those ``classes`` (h, g, first) of equal lines to which a class with a smaller ``first`` is near.
 
-    Every line is under the hashes of the substrings that it looks up; ``lines`` may repeat. Each key's least and
-    largest line are found first, combined before the shuffle, and only keys of two lines or more are listed with
-    their members. These are compared by letter counts, which differ little in a near pair and much in others, so a
-    segment that thousands of lines share gives few pairs. A group beyond ``block`` lines is cut into
-    blocks by a hash, and each pair of its blocks is compared by itself.
+    Every line of ``rows`` (h, g, bytes; lines may repeat) is under the hashes of the substrings that it looks up. Each
+    key's least and largest line are found first, combined before the shuffle, and only keys of two lines or more are
+    listed with their members. A member needs to know only whether some earlier one is near, so its key is searched by
+    a semi-join, which ends at the first one: a group of any number of near lines gives one row a line, never its pairs.
+    Counts of characters, which differ little in a near pair and much in others, come before the distance. A key beyond
+    ``block`` lines is cut into blocks by a hash of the earlier lines, so no task holds all of them.
     """
-    slim = lines.select("h", F.explode(keys(F.col("bytes"), edits)).alias("key"))
-    shared = slim.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
-    shared = materialize(shared, "shared")
-    listed = maybe_in(lines.select("h", "bytes", F.explode(keys(F.col("bytes"), edits)).alias("key")), F.col("key"), shared, "key")
-    members = listed.select("key", "h", F.array(*letter_counts(F.col("bytes"))).alias("p"), F.length("bytes").alias("size")).join(shared, "key").distinct()
-    members = materialize(members, "members")
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
-    members = members.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    members = members.withColumn("part", F.pmod(F.xxhash64("h", "key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    members = members.select(F.xxhash64("key", lo, hi).alias("cell"), "h", "p", "size", "part", (lo == hi).alias("own"))
-    others = members.toDF("cell", "b", "q", "long", "there", "_own")
-    apart = sum((F.abs(F.get("p", F.lit(i)) - F.get("q", F.lit(i))) for i in range(len(COUNTED))), F.lit(0))
-    near = (F.col("h") < F.col("b")) & (apart <= 2 * edits) & (F.abs(F.col("size") - F.col("long")) <= edits)
-    pairs = members.join(others, "cell").filter(near & (F.col("own") | (F.col("part") != F.col("there"))))
-    return pairs.select(F.col("h").alias("a"), "b").distinct()
+    least = min(n for n, _ in edits)
+    long = rows.filter(F.length("bytes") >= least)
+    # the keys are a projection of their own, which computes what they share once; a generator would not
+    keyed = long.withColumn("keys", keys(F.col("bytes"), edits))
+    slim = keyed.select("h", F.explode("keys").alias("key"))
+    shared = materialize(slim.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key"), "shared")
+    listed = maybe_in(keyed.select("h", "g", F.explode("keys").alias("key")), F.col("key"), shared, "key")
+    found = listed.join(shared, "key").distinct()
+    found = materialize(found, "members")
+    members = found.select("h", "g").distinct()
+    # texts and places once a line, not once a key
+    texts = maybe_in(long, F.col("h"), members, "h").groupBy("h", "g").agg(F.first("bytes").alias("bytes"))
+    texts = maybe_in(classes.select("h", "g", "first"), F.col("h"), members, "h").join(texts, ["h", "g"])
+    texts = materialize(texts.select("h", "g", F.struct("first", F.array(*counts(F.col("bytes"))).alias("p"), "bytes").alias("x")), "texts")
+    parts = found.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
+    parts = materialize(parts, "parts")
+    lines = found.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).join(texts, ["h", "g"])
+    later = lines.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("key", "part").alias("cell"), "h", "g", "x")
+    part = F.pmod(F.xxhash64("h", "g"), F.col("parts")).cast("int")
+    earlier = lines.select(F.xxhash64("key", part).alias("_cell"), F.col("x").alias("y"))
+    size, other = F.length("x.bytes"), F.length("y.bytes")
+    most = bound(F.least(size, other), edits)
+    apart = sum((F.abs(F.get("x.p", F.lit(i)) - F.get("y.p", F.lit(i))) for i in range(len(COUNTED))), F.lit(0))
+    near = F.lit(False)
+    for _, k in edits:
+        near = F.when(most == k, within(F.col("x.bytes"), F.col("y.bytes"), k)).otherwise(near)
+    on = (F.col("cell") == F.col("_cell")) & (F.col("y.first") < F.col("x.first")) & (F.abs(size - other) <= most) & (apart <= 2 * most) & near
+    return later.join(earlier, on, "left_semi").select("h", "g").distinct()
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(place, h, g, bytes) of each line with a word: its place in the corpus and 128 bits of hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.filter(F.length(F.translate("line", " \t\n\x0b\x0c\r", "")) > 0)
+    rows = rows.filter(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "pos", "t")
     return rows.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("g"), F.col("line").cast("binary").alias("bytes"))
 
 
-def duplicate_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: Sequence[tuple[int, int]] = EDITS) -> DataFrame:
     """(doc_id, t, pos, near): the lines of ``docs`` that an equal or near line precedes; ``near``: only a near one.
 
     Lines are shuffled as hashes and places. Their texts are read again where they are needed, for the members of
-    shared keys and for candidate pairs.
+    shared keys. If a line near to a class comes before its first place, it comes before all of them.
     """
     rows = line_rows(docs)
     classes = materialize(rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "lines")
-    long = rows.filter(F.length("bytes") >= least).select("h", "g", "bytes")
-    pairs = materialize(near_pairs(long, edits), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    # classes whose hashes agree meet here as well and are told apart by their bytes
-    texts = maybe_in(long, F.col("h"), ends, "h").groupBy("h", "g").agg(F.first("bytes").alias("bytes"))
-    texts = materialize(maybe_in(classes.drop("n"), F.col("h"), ends, "h").join(texts, ["h", "g"]), "texts")
-    side = lambda x: texts.select(F.col("h").alias(x), F.struct("h", "g", "first", "bytes").alias(f"{x}_"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.length("a_.bytes") - F.length("b_.bytes")) <= edits)
-    items = lambda x: F.split(F.decode(x, "ISO-8859-1"), "")
-    near = both.filter(edit_distance(items(F.col("a_.bytes")), items(F.col("b_.bytes")), edits) <= edits)
-    later = F.col("a_.first") > F.col("b_.first")
-    near = near.select(F.when(later, F.col("a_")).otherwise(F.col("b_")).alias("x"), F.when(later, F.col("b_.first")).otherwise(F.col("a_.first")).alias("before"))
-    near = near.groupBy(F.col("x.h").alias("h"), F.col("x.g").alias("g")).agg(F.min("before").alias("before"))
-    fates = classes.filter("n > 1").select("h", "g", F.col("first").alias("before"), F.lit(False).alias("near"))
-    fates = fates.union(near.select("h", "g", "before", F.lit(True)))
-    fates = materialize(fates.groupBy("h", "g").agg(F.min("before").alias("before"), F.min(F.struct(F.col("near"), F.col("before"))).alias("own")), "fates")
-    hit = maybe_in(rows.select("place", "h", "g"), F.col("h"), fates, "h").join(fates, ["h", "g"]).filter(F.col("place") > F.col("before"))
-    equal = ~F.col("own.near") & (F.col("place") > F.col("own.before"))
-    return hit.select("place.doc_id", "place.t", "place.pos", (~equal).alias("near"))
-
-
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+    near = near_later(classes, rows.select("h", "g", "bytes"), edits).withColumn("near", F.lit(True))
+    fates = classes.join(near, ["h", "g"], "left").filter("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    fates = materialize(fates, "fates")
+    hit = maybe_in(rows.select("place", "h", "g"), F.col("h"), fates, "h").join(fates, ["h", "g"])
+    return hit.filter((F.col("place") > F.col("first")) | F.col("near")).select("place.doc_id", "place.t", "place.pos", (F.col("place") == F.col("first")).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, edits: Sequence[tuple[int, int]] = EDITS) -> DataFrame:
     """``docs`` without the lines that come before: in a document with a smaller doc_id, or earlier in their own.
 
-    A line goes if an equal line, or for lines of ``least`` bytes and more one within ``edits`` edits of UTF-8 bytes,
-    has a smaller (doc_id, line number); whether that line stays itself makes no difference. Lines without words stay.
+    A line goes if an equal line, or one within the edits of UTF-8 bytes that ``edits`` allows the shorter of both, has a
+    smaller (doc_id, line number); whether that line stays itself makes no difference. Lines without words stay.
     ``text`` becomes the lines left, and n_lines, n_equal and n_near are added: all lines, and those removed.
 
     Null texts stay null and have no lines. Documents without a doc_id come after all others. Repeated rows have the
@@ -168,14 +232,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -
     empty table gives none. Other columns pass through; n_lines, n_equal and n_near replace columns with these names.
     """
     docs = docs.drop("n_lines", "n_equal", "n_near")
-    t, gone, row = fresh(docs.columns, "t", "gone", "row")
-    hits = duplicate_lines(docs.select("doc_id", "text"), edits, least).distinct()
+    t, gone, row, of, own = fresh(docs.columns, "t", "gone", "row", "_of", "_text")
+    hits = duplicate_lines(docs.select("doc_id", "text"), edits).distinct()
     hits = hits.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "near")).alias("gone"))
-    hits = materialize(hits.select(F.col("doc_id").alias("_of"), F.col("t").alias("_text"), F.col("gone").alias(gone)), "removed")
+    hits = materialize(hits.select(F.col("doc_id").alias(of), F.col("t").alias(own), F.col("gone").alias(gone)), "removed")
     rows = docs.withColumn(t, F.xxhash64("text"))
     # only documents that may lose lines go through the join
-    rows = mark_maybe(rows, F.xxhash64("doc_id", t), hits.select(F.xxhash64("_of", "_text").alias("x")), "x", row)
-    joined = rows.filter(row).join(hits, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col(t) == F.col("_text")), "left").drop("_of", "_text")
+    rows = mark_maybe(rows, F.xxhash64("doc_id", t), hits.select(F.xxhash64(of, own).alias("x")), "x", row)
+    joined = rows.filter(row).join(hits, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(t) == F.col(own)), "left").drop(of, own)
     rows = joined.unionByName(rows.filter(~F.col(row)).withColumn(gone, F.lit(None).cast(hits.schema[gone].dataType)))
     lines, at = F.split("text", "\n"), F.transform(gone, lambda x: x["pos"])
     near = F.coalesce(F.size(F.filter(gone, lambda x: x["near"])), F.lit(0))

@@ -20,11 +20,12 @@ from .substrings import without_repeats
 from .toxicity import toxicity
 
 
-#: Lines that an equal line, or from 24 bytes on one within two edits of bytes, precedes by (doc_id, line number).
+#: Lines that an equal line precedes by (doc_id, line number), or one within two edits of bytes, or within one where the
+#: shorter has under 24 bytes.
 OP9_SQL = r"""
 WITH l AS (SELECT doc_id, pos, line, octet_length(encode(line)) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(trim(line, E' \t\n\x0b\x0c\r')) > 0),
 c AS (SELECT line, n, min((doc_id, pos)) AS first FROM l GROUP BY line, n),
-near AS (SELECT a.line, min(b.first) AS before FROM c a JOIN c b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.first > b.first AND a.n >= 24 AND b.n >= 24 AND levenshtein(a.line, b.line) <= 2 GROUP BY a.line),
+near AS (SELECT a.line, min(b.first) AS before FROM c a JOIN c b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.first > b.first AND least(a.n, b.n) >= 12 AND levenshtein(a.line, b.line) <= if(least(a.n, b.n) >= 24, 2, 1) GROUP BY a.line),
 f AS (SELECT l.doc_id, l.pos, (l.doc_id, l.pos) > c.first AS eq, coalesce((l.doc_id, l.pos) > near.before, false) AS nr FROM l JOIN c USING (line) LEFT JOIN near USING (line)),
 g AS (SELECT doc_id, list(pos) FILTER (eq OR nr) AS gone, count(*) FILTER (eq) AS n_equal, count(*) FILTER (nr AND NOT eq) AS n_near FROM f GROUP BY doc_id),
 k AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS parts, coalesce(g.gone, []) AS gone, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near FROM documents d LEFT JOIN g USING (doc_id)),

@@ -16,8 +16,8 @@ from .runindex import PLACE_BITS, SEPARATOR, RunIndex, ranges
 #: Bytes of a match, and of the strings (seeds) whose hash deals windows of that size into buckets.
 MATCH, SEED = 50, 24
 #: Bytes of segments that are indexed at once; buckets with more different ones are dealt on. Windows of a segment, and
-#: bytes of text that are cut at once.
-BATCH, MOST_WINDOWS, PIECE = 500_000, 256, 1 << 18
+#: bytes of text that are cut at once. Segments of a bucket from which on equal ones are combined before the shuffle.
+BATCH, MOST_WINDOWS, PIECE, HEAVY = 500_000, 256, 1 << 18, 100
 LAST = (1 << 63) - 1  # stands for no doc_id: such documents come after all others
 
 
@@ -146,7 +146,7 @@ def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buc
         with_both[node[later]] = True
         indexed, read = np.flatnonzero(~later & with_both[node]), np.flatnonzero(later)
         size = int((sizes[indexed] + 1).sum())
-        if held and total + size >= 1 << PLACE_BITS:
+        if held and total + size >= 1 << PLACE_BITS - 1:
             search()
             held, total = [], 0
         held.append((indexed, node[indexed], read, node[read]))
@@ -289,14 +289,14 @@ def repeat_spans(reps: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     """(doc_id, t, a, b): bytes of the texts ``reps`` (doc_id, t, raw) that windows shared with a smaller doc_id cover.
 
     Equal windows have equal seeds, so all holders of a window are in one bucket. Seeds of one segment in all texts
-    can't be shared, so their text is never shuffled. Buckets of so few segments that they fit a batch go to tasks as
+    can't be shared, so their text is never shuffled. Buckets of few segments, which fit a batch, go to tasks as
     they are. In others equal segments are combined before they are shuffled: a passage with any number of copies is
     one row in its bucket, and only its first holder is streamed against earlier ones. If different segments alone are
     more than a batch, windows are compared one by one.
     """
     spark = reps.sparkSession
     shared = materialize(seeds(reps).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seeds")
-    heavy = shared.filter(F.col("n") * (MOST_WINDOWS + MATCH) > batch_bytes).select("bucket")
+    heavy = shared.filter(F.col("n") > min(HEAVY, batch_bytes // (MOST_WINDOWS + MATCH))).select("bucket")
     words, heavy_words = (spark.sparkContext.broadcast(bit_filter(x, "bucket")) for x in (shared, heavy))
     light = materialize(light_spans(segments(reps, words, heavy_words, False), batch_bytes), "light")
     if heavy.isEmpty():
