@@ -28,7 +28,8 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end: int, spaced: bool, n
     # hashes alone are sorted; of the texts only the sample's are read
     last = docs.select(rank.alias("rank")).orderBy("rank").limit(n).agg(F.max("rank")).first()[0]
     sample = docs.select("doc_id", "text").filter(rank <= F.lit(last))
-    short = token_ids(sample, vocabulary, end, spaced).select(F.substring("ids", 1, ids * BYTES).alias("ids")).limit(2 * n)
+    # repeated doc_ids may bring more: the order makes the choice the same in every run
+    short = token_ids(sample, vocabulary, end, spaced).select("doc_id", F.substring("ids", 1, ids * BYTES).alias("ids")).orderBy(F.xxhash64("doc_id"), "doc_id", "ids").select("ids").limit(2 * n)
     rows = sorted(bytes(r[0]) for r in short.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows, threads=0).as_bytes()
@@ -86,7 +87,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end: int, spaced: bool = False,
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.withColumn("file", F.spark_partition_id().cast("long"))
     files = materialize(rows.mapInArrow(run, FILES), "ids", compression="uncompressed")
-    return files, spark.createDataFrame([(mark, bytearray(dictionary))], "dictionary_hash string, dictionary binary")
+    return files, materialize(spark.createDataFrame([(mark, bytearray(dictionary))], "dictionary_hash string, dictionary binary").coalesce(1), "dictionary")
 
 
 def read_ids(files: DataFrame, dictionary: DataFrame, only: list[int] | None = None) -> DataFrame:

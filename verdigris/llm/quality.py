@@ -154,13 +154,14 @@ def judged(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
-    (t,) = fresh(docs.columns, "_text_hash")
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns, whatever their names. Rows without words and with a null
+    text go; null languages and sources are groups of their own; repeated rows stay or go together; an empty table gives none."""
+    t, own, *of = fresh(docs.columns, "_text_hash", "_t", "_of_doc_id", "_of_lang", "_of_source")
     good = judged(docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias(t)), ["doc_id", t]).filter("kept")
     on = ["doc_id", "lang", "source"]
-    good = good.select(F.col(t).alias("_t"), *[F.col(c).alias(f"_of_{c}") for c in on]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
-    return docs.withColumn(t, F.xxhash64("text")).join(good, [F.col(t) == F.col("_t"), *same], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    good = good.select(F.col(t).alias(own), *[F.col(c).alias(x) for c, x in zip(on, of)]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(on, of)]
+    return docs.withColumn(t, F.xxhash64("text")).join(good, [F.col(t) == F.col(own), *same], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def verdicts(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
