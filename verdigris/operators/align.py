@@ -34,3 +34,17 @@ def lagged_correlations(a: DataFrame, b: DataFrame, lags: range, by: str = "seri
     shifted = shifted.withColumn(at, F.date_sub(at, F.col("lag") * 7))
     rows = shifted.join(a.select(at, x), at)
     return rows.groupBy(by, "lag").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.corr(x, "y")).alias("corr"))
+
+
+def asof_next(left: DataFrame, right: DataFrame, by: str, at: str, tie: str, value: str) -> DataFrame:
+    """``tie`` of each left row with the first right row of its ``by`` at its time or later: next_id and next_value, null
+    if there is none; of several at one time that with the smallest ``tie``.
+
+    Both sides are one stream in order of time, so no pair is made: a window carries the next right row back.
+    """
+    mark = F.struct(F.col(tie).alias("id"), F.col(value).alias("value"))
+    both = left.select(by, at, F.lit(0).alias("side"), F.col(tie).alias("own"), F.lit(None).cast(right.select(mark.alias("m")).schema["m"].dataType).alias("mark"))
+    both = both.unionByName(right.select(by, at, F.lit(1).alias("side"), F.col(tie).alias("own"), mark.alias("mark")))
+    w = Window.partitionBy(by).orderBy(at, "side", "own").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = both.withColumn("next", F.first("mark", ignorenulls=True).over(w)).filter("side = 0")
+    return rows.select(F.col("own").alias(tie), F.col("next.id").alias("next_id"), F.col("next.value").alias("next_value"))

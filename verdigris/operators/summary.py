@@ -34,11 +34,14 @@ def return_moments(series: DataFrame, by: str = "series_id", r: str = "r") -> Da
 
 
 def drawdown(series: DataFrame, by: str = "series_id", order: str = "idx", r: str = "r", year: int = 365) -> DataFrame:
-    """total, annual return, largest drawdown (1 - equity / peak, the peak at least 1) and Calmar ratio."""
+    """total, annual return, largest drawdown (1 - equity / peak, the peak at least 1) and Calmar ratio. A return
+    of -1 or less is ruin: total and annual return are -1 and the drawdown is 1 from there on."""
     w = Window.partitionBy(by).orderBy(order)
-    rows = series.filter(F.col(r).isNotNull()).withColumn("level", F.sum(F.log1p(r)).over(w))
+    ruined = F.max((F.col(r) <= -1).cast("int")).over(w) == 1
+    rows = series.filter(F.col(r).isNotNull()).withColumn("level", F.sum(F.when(F.col(r) > -1, F.log1p(r))).over(w)).withColumn("ruined", ruined)
     rows = rows.withColumn("peak", F.greatest(F.max("level").over(w), F.lit(0.0)))
-    out = rows.groupBy(by).agg(F.expm1(F.sum(F.log1p(r))).alias("total"), F.count(F.lit(1)).alias("n"), F.max(1 - F.exp(F.col("level") - F.col("peak"))).alias("max_drawdown"))
+    fall = F.when(F.col("ruined"), 1.0).otherwise(1 - F.exp(F.col("level") - F.col("peak")))
+    out = rows.groupBy(by).agg(compound(F.col(r)).alias("total"), F.count(F.lit(1)).alias("n"), F.max(fall).alias("max_drawdown"))
     annual = F.pow(1 + F.col("total"), F.lit(float(year)) / F.col("n")) - 1
     return out.withColumn("annual", annual).withColumn("calmar", F.try_divide("annual", "max_drawdown"))
 
