@@ -44,8 +44,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     many = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    found = sorted((r["h"], r["n"] * SAMPLE) for r in many.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect())
-    return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+    found = many.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h", (F.col("n") * SAMPLE).alias("n")).toArrow()
+    keys, counts = (found[c].to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 def marked(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
