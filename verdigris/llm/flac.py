@@ -350,7 +350,7 @@ def feature(pcm: bytes) -> str:
     return f"energy={int(x @ x)};crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};peak={int(np.abs(x).max())}"
 
 
-def runs(sizes: Sequence[int], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def runs(sizes: Sequence[int], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of items that hold about ``most`` together."""
     begin = total = 0
     for i, n in enumerate(sizes):
@@ -372,7 +372,8 @@ def store_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in runs([len(t or "") for t in texts]):
+            # a character has four bytes at most
+            for a, b in runs([len(t or "") if (t or "").isascii() else 4 * len(t) for t in texts]):
                 raw = [payload(t) for t in texts[a:b]]
                 sizes = [len((t or "").encode()) for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(encode(raw), pa.binary())], names=[key, "n_bytes", "media"])

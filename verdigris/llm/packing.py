@@ -119,7 +119,8 @@ def _cut(spark, rows: DataFrame, length: int) -> DataFrame:
         at += sums.get(k, 0)
     first = spark.sparkContext.broadcast(base)
     ranged = rows.select("doc_id", "ids", "sort_key", place.alias("range"))
-    ranged = ranged.repartition(n, "range").sortWithinPartitions("range", "sort_key", "doc_id", F.crc32("ids"))
+    # a range is a partition: hashed numbers would put several in one and none in others
+    ranged = ranged.repartitionById(n, "range").sortWithinPartitions("range", "sort_key", "doc_id", F.crc32("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pos = None, 0
