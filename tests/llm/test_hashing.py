@@ -118,3 +118,15 @@ def test_components_follow_a_long_chain(spark):
 
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(chain).collect()} == {0}
+
+
+def test_a_row_without_a_name_bridges_two_components(spark, monkeypatch):
+    from verdigris.llm import simhash
+    from pyspark.sql import functions as F
+
+    # fingerprints 4 bits apart at each step, given in place of the texts' own
+    given = lambda docs, keys, *_: docs.select(*keys, F.col("text").cast("long").alias("fingerprint"))
+    monkeypatch.setattr(simhash, "fingerprints", given)
+    docs = spark.createDataFrame([(5, "0"), (None, "15"), (9, "255"), (None, str(255 << 20))], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_components(docs).collect()}
+    assert got == {(5, f"{0:016x}"): 5, (None, f"{15:016x}"): 5, (9, f"{255:016x}"): 5, (None, f"{255 << 20:016x}"): None}

@@ -179,12 +179,13 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
 
     Equal fingerprints are one class, searched once under the class's smallest doc_id, so a group of exact copies of
     any size is one row in the search. Null and empty texts have fingerprint 0 and are linked like others. A row whose
-    doc_id is null has a fingerprint and joins its class, but never names a component unless all its rows are null.
+    doc_id is null has a fingerprint and links others like any, but never names a component; one of such rows alone has
+    a null component_id.
     Repeated rows give repeated rows; an empty table gives none; other columns than ``more``, which are returned too, are not read.
     """
     marks = materialize(fingerprints(docs, ("doc_id", *more), width, seed), "fingerprints")
     classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    named = materialize(classes.filter("rep is not null").select(F.col("rep").cast("long"), "fingerprint"), "classes")
+    named = materialize(classes.select(F.col("rep").cast("long"), "fingerprint"), "classes")
     # a doc_id that is on rows with several texts names several classes, so classes are linked by fingerprint
     found = components(links(named.select("fingerprint"), radius))
     group = named.join(found, named["fingerprint"] == found["node"], "left").select(named["fingerprint"], "rep", F.coalesce("component", named["fingerprint"]).alias("component"))
