@@ -17,6 +17,8 @@ from .simhash import _whole_cells, components, fingerprint_of, links, shingle_ha
 WIDTH, SEED = 5, 42
 #: One document in so many is counted for shingles that are frequent, how many of these count, and members of a cell.
 SAMPLE, MOST_FREQUENT, BLOCK = 16, 200_000, 1024
+#: Longs of a set's sketch.
+SKETCH = 4
 
 
 def least_common(n: int) -> int:
@@ -29,6 +31,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes: whether an odd number of them has it. Two sets' sketches differ in no
+    more bits than there are shingles in one of the sets alone."""
+    return np.packbits(np.bincount(own & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).tobytes()
+
+
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.ascontiguousarray(hashes).view(np.int64).ravel())
 
@@ -51,14 +59,14 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, k, c, fingerprint, n, prefix) of ``rows`` (doc_id, k, text): c names the set of shingles, ``prefix`` has
-    as many of its ``n``, rare ones first, as hold one at least of those in common with a near set."""
+    """(doc_id, k, c, fingerprint, n, prefix, sketch) of ``rows`` (doc_id, k, text): c names the set of shingles,
+    ``prefix`` has as many of its ``n``, rare ones first, as hold one at least of those in common with a near set."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(5)]
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, WIDTH, SEED)
                 own = shingle_set(hashes)
@@ -67,12 +75,12 @@ def marked(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     often = np.where(keys[at] == own, counts[at], 0)
                 first = own[np.lexsort((own, often))][: len(own) - least_common(len(own)) + 1]
-                for column, value in zip(out, (xxhash.xxh64_intdigest(own.tobytes(), 1), fingerprint_of(hashes), len(own), first.tobytes())):
+                for column, value in zip(out, (xxhash.xxh64_intdigest(own.tobytes(), 1), fingerprint_of(hashes), len(own), first.tobytes(), sketch(own))):
                     column.append(value)
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:2]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["doc_id", "k", "c", "fingerprint", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, pa.array(out[2], pa.int32()), *[pa.array(x, pa.binary()) for x in out[3:]]], names=["doc_id", "k", "c", "fingerprint", "n", "prefix", "sketch"])
 
-    return rows.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, k long, c long, fingerprint long, n int, prefix binary")
+    return rows.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, k long, c long, fingerprint long, n int, prefix binary, sketch binary")
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -101,33 +109,41 @@ def grouped(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def meeting_pairs(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Pairs (a, b) of ``classes`` in different components that may be near: all that are, as these have a shingle of
-    both prefixes in common. Counts of the common ones leave few others. Cells of frequent shingles are cut into blocks,
-    and each pair of blocks is a cell."""
+    """Pairs (a, b) of ``classes`` in different components that may be near, all that are among them: these meet at the
+    first shingle, in the order of the prefixes, that both sets have. What either set has from there on bounds the
+    shingles in common, and the sketches bound those that are not; pairs beyond a bound are not listed. Cells of
+    frequent shingles are cut into blocks, and each pair of blocks is a cell."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent)
+    fields = "cell long, c long, component long, n int, side int, rest int, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         parts_of = dict(zip(keys[counts > BLOCK].tolist(), (-(-counts[counts > BLOCK] // BLOCK)).tolist()))
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for c, group, n, raw in zip(*[x.to_pylist() for x in batch.columns]):
+            out: list[list] = [[] for _ in range(6)]
+            times, sketches = [], b"".join(batch.column(4).to_pylist())
+            for c, group, n, raw in zip(*[x.to_pylist() for x in batch.columns[:4]]):
                 first = np.frombuffer(raw, np.int64).tolist()
-                cells, sides = [], []
-                for h in first:
+                cells, sides, rest = [], [], []
+                for at, h in enumerate(first):
                     parts = parts_of.get(h, 1)
                     mine = c % parts
                     for other in range(parts):
                         lo, hi = min(mine, other), max(mine, other)
                         cells.append(h if parts == 1 else xxhash.xxh64_intdigest(f"{h} {lo} {hi}") - (1 << 63))
                         sides.append(-1 if lo == hi else mine)
-                for column, value in zip(out, ([c] * len(cells), [group] * len(cells), [n] * len(cells), cells, sides)):
+                        rest.append(n - at)
+                times.append(len(cells))
+                for column, value in zip(out, (cells, [c] * len(cells), [group] * len(cells), [n] * len(cells), sides, rest)):
                     column += value
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["c", "component", "n", "cell", "side"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            words = np.repeat(np.frombuffer(sketches, np.int64).reshape(-1, SKETCH), times, axis=0)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(out, kinds)], *map(pa.array, np.ascontiguousarray(words.T))], names=names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, c, group, n, side in _whole_cells(batches):
+        for cell, c, group, n, side, rest, *words in _whole_cells(batches):
+            words = np.stack(words).view(np.uint64)
             starts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1))
             ends = np.concatenate((starts[1:], [len(cell)]))
             some = np.minimum.reduceat(group, starts) < np.maximum.reduceat(group, starts)
@@ -135,16 +151,18 @@ def meeting_pairs(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -
                 for at in range(lo, hi, BLOCK):
                     x, y = slice(at, min(hi, at + BLOCK)), slice(lo, hi)
                     near = (c[x][:, None] < c[y]) & (group[x][:, None] != group[y]) & ((side[x][:, None] < 0) | (side[x][:, None] != side[y]))
-                    near &= 5 * np.minimum(n[x][:, None], n[y]) >= 4 * np.maximum(n[x][:, None], n[y])
+                    near &= 9 * np.minimum(rest[x][:, None], rest[y]) >= 4 * (n[x][:, None] + n[y])
                     i, j = np.nonzero(near)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c[x][i], c[y][j], n[x][i], n[y][j])], names=["a", "b", "m", "n"])
-
-    rows = classes.select("c", "component", "n", "prefix").mapInArrow(deal, "c long, component long, n int, cell long, side int")
+                    apart = np.zeros(len(i), np.int64)
+                    for word in words:
+                        apart += np.bitwise_count(word[x][i] ^ word[y][j])
+                    few = 9 * apart <= n[x][i] + n[y][j]
+                    if few.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(c[x][i[few]]), pa.array(c[y][j[few]])], names=["a", "b"])
+
+    rows = classes.select("c", "component", "n", "prefix", "sketch").mapInArrow(deal, fields)
     rows = rows.repartition(parallelism(classes.sparkSession), "cell").sortWithinPartitions("cell")
-    met = rows.select("cell", "c", "component", "n", "side").mapInArrow(search, "a long, b long, m int, n int").groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("common"))
-    # in common: those of both prefixes, and at most all that one of the sets has after its own
-    return met.filter("9 * (common + floor((4 * greatest(m, n) + 4) / 5) - 1) >= 4 * (m + n)").select("a", "b")
+    return rows.mapInArrow(search, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -161,7 +179,7 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     own = rows.select("doc_id", F.col(key).alias("k"), "text")
     frequent = frequent_shingles(own)
     marks = materialize(marked(own, frequent), "marks")
-    classes = materialize(marks.groupBy("c").agg(F.min("fingerprint").alias("fingerprint"), F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.min("k").alias("k")), "classes")
+    classes = materialize(marks.groupBy("c").agg(F.min("fingerprint").alias("fingerprint"), F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch"), F.min("k").alias("k")), "classes")
     reps = classes.groupBy("fingerprint").agg(F.min("c").alias("rep"))
     same = classes.join(reps, "fingerprint").filter("c <> rep").select(F.col("rep").alias("a"), F.col("c").alias("b"))
     hops = links(reps.select("fingerprint"), radius)
