@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: The characters that the tokenizers' patterns count as white space.
@@ -107,7 +108,7 @@ def encoder(name: str, spaced: bool) -> WordEncoder:
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about ``most`` bytes of text each."""
-    sizes = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
