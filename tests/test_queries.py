@@ -100,3 +100,24 @@ def test_streamed_bars_equal_the_table_s(spark, tmp_path):
     job = streaming_bars(stream).writeStream.format("memory").queryName("bars").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     job.awaitTermination()
     assert sorted(spark.table("bars").collect()) == sorted(streaming_bars(events).collect())
+
+
+def test_expanding_regime_leaves_its_own_row_out(spark):
+    from verdigris.operators.rolling import expanding_regime
+
+    data = [(1, i, r) for i, r in enumerate([0.0, 1.0, 3.0, 3.0, 3.0, -9.0, None, 1.0, 4.0])]
+    rows = expanding_regime(spark.createDataFrame(data, "series_id int, idx int, r double"), n=2).orderBy("idx").collect()
+    # deviations times the root of two: -, 1, 2, 0, 0, 12, -, -, 3
+    assert [x["regime"] for x in rows] == "flat_low up_low up_high up_low up_low down_high flat_low flat_low up_high".split()
+    assert rows[3]["mid"] == pytest.approx(1.5 / 2**0.5)
+    assert expanding_regime(spark.createDataFrame([], "series_id int, idx int, r double")).count() == 0
+
+
+def test_haircuts_stop_at_the_first_failure(spark):
+    from verdigris.operators.inference import sharpe_haircuts
+
+    data = [(1, 0.30, 100), (2, 0.22, 100), (3, 0.2199, 100), (4, 0.0, 100)]
+    rows = {r["series_id"]: r for r in sharpe_haircuts(spark.createDataFrame(data, "series_id int, sharpe double, n long")).collect()}
+    # p: 0.0027, 0.0278, 0.0279, 1: 0.0278 * 3 is over 0.05, so 0.0279 * 2 can't pass either
+    assert [rows[i]["holm_significant"] for i in (1, 2, 3, 4)] == [True, False, False, False]
+    assert rows[2]["holm_step"] > rows[3]["holm_step"] and rows[2]["holm"] == rows[3]["holm"]

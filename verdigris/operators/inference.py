@@ -22,9 +22,11 @@ def deflated_sharpe(moments: DataFrame, trials: list[int]) -> DataFrame:
     return rows.withColumn("psr", normal_cdf(sr / F.col("se"))).withColumn("dsr", normal_cdf((sr - F.col("se") * F.col("luck")) / F.col("se")))
 
 
-def sharpe_haircuts(moments: DataFrame) -> DataFrame:
+def sharpe_haircuts(moments: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-sided p values of the Sharpe ratios with Bonferroni, Holm and Benjamini-Hochberg-Yekutieli adjustment.
 
+    ``holm`` and ``bhy`` are kept monotone in p; ``holm_step`` and ``bhy_step`` are each rank's own. Survivors at
+    ``alpha``: ``holm_significant`` until the first failure in order of p, ``bhy_significant`` each rank by itself.
     There is one row a strategy, so the windows over all of them hold as many rows as there are strategies.
     """
     rows = moments.withColumn("p", 2 * (1 - normal_cdf(F.abs(F.col("sharpe") * F.sqrt("n")))))
@@ -35,7 +37,10 @@ def sharpe_haircuts(moments: DataFrame) -> DataFrame:
     rows = rows.withColumn("holm_step", F.col("p") * (F.col("m") - F.col("place") + 1)).withColumn("bhy_step", F.col("p") * F.col("m") * harmonic / F.col("place"))
     back = Window.orderBy(F.col("p").desc(), F.col("series_id").desc())
     one = lambda c: F.least(c, F.lit(1.0))
-    return rows.withColumn("bonferroni", one(F.col("p") * F.col("m"))).withColumn("holm", one(F.max("holm_step").over(up))).withColumn("bhy", one(F.min("bhy_step").over(back)))
+    rows = rows.withColumn("bonferroni", one(F.col("p") * F.col("m"))).withColumn("holm", one(F.max("holm_step").over(up))).withColumn("bhy", one(F.min("bhy_step").over(back)))
+    # no rank up to this one fails if the largest step up to it passes
+    rows = rows.withColumn("holm_significant", F.max("holm_step").over(up) <= alpha).withColumn("bhy_significant", F.col("bhy_step") <= alpha)
+    return rows.withColumn("holm_step", one(F.col("holm_step"))).withColumn("bhy_step", one(F.col("bhy_step")))
 
 
 def fold_combinations(spark: SparkSession, folds: int) -> DataFrame:

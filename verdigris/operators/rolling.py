@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,35 @@ def volatility_regime(series: DataFrame, n: int = 20, back: int = 60, r: str = "
     return rows.withColumn("mid", mid).withColumn("regime", F.when(F.col("mid").isNull(), "unknown").when(F.col("vol") > F.col("mid"), "high").otherwise("low"))
 
 
+def expanding_regime(series: DataFrame, n: int = 20, flat: float = 0.0, r: str = "r", by: str = "series_id", order: str = "idx") -> DataFrame:
+    """(by, order, vol, mid, regime) of each row: up, down or flat as the mean of the last ``n`` values lies beyond
+    ``flat``, and high or low as their deviation lies over the median of all earlier deviations, its own not included.
+
+    Rows before the window is full are flat_low, as is the first full one's deviation. A null in a window leaves it not
+    full. The median grows with each row, so each series is one Arrow group in order and must fit in memory; series are
+    spread over tasks.
+    """
+    kind = dict(series.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        window = rows[r].rolling(n)
+        mean, vol = window.mean(), window.std()
+        before: list[float] = []
+        mids = []
+        for x in vol:
+            k = len(before)
+            mids.append((before[k // 2] + before[(k - 1) // 2]) / 2 if k else None)
+            if not np.isnan(x):
+                insort(before, x)
+        mid = pd.Series(mids, index=rows.index, dtype=float)
+        trend = np.where(mean > flat, "up", np.where(mean < -flat, "down", "flat"))
+        regime = pd.Series(trend, index=rows.index) + np.where(vol > mid, "_high", "_low")
+        return pd.DataFrame({by: rows[by], order: rows[order], "vol": vol, "mid": mid, "regime": regime})
+
+    return series.select(by, order, r).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}, vol double, mid double, regime string")
+
+
 def recurrent(series: DataFrame, v: str = "v", n: int = 14, by: str = "series_id", order: str = "idx") -> DataFrame:
     """(by, order, v, ema, rsi): exponential mean with weight 2 / (n + 1) from the first value on, and Wilder's relative
     strength index with weight 1 / n from the first change on, null before row n + 1; 100 without losses.

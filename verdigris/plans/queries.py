@@ -173,6 +173,15 @@ def regime_counts(spark, sf_dir):
     return rounded(rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series_id"))))
 
 
+@query(DAILY + """, x AS (SELECT series_id, idx, CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w END AS vol, CASE WHEN count(r) OVER w = 20 THEN avg(r) OVER w END AS mean FROM s WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS 19 PRECEDING)),
+y AS (SELECT *, median(vol) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mid FROM x),
+z AS (SELECT series_id, (CASE WHEN mean > 0 THEN 'up' WHEN mean < 0 THEN 'down' ELSE 'flat' END) || (CASE WHEN vol > mid THEN '_high' ELSE '_low' END) AS regime FROM y)
+SELECT series_id, regime, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY series_id), 6) AS share FROM z GROUP BY 1, 2""")
+def expanding_regimes(spark, sf_dir):
+    rows = rolling.expanding_regime(daily_series(spark, sf_dir)).groupBy("series_id", "regime").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series_id"))))
+
+
 @query(WEEKLY + """, a AS (SELECT week, r AS x FROM p WHERE series_id = 0 AND r IS NOT NULL), l AS (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS lag)
 SELECT b.series_id, CAST(lag AS BIGINT) AS lag, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(a.x, b.r), 6) END AS corr FROM p b, l JOIN a ON a.week = b.week - CAST(lag * 7 AS INT) WHERE b.r IS NOT NULL GROUP BY 1, 2""")
 def lead_lag_corr(spark, sf_dir):
@@ -221,10 +230,11 @@ def dsr_by_trials(spark, sf_dir):
 
 @query(DAILY + MOMENTS + f""", a AS (SELECT series_id, 2 * (1 - {normal_cdf_sql("abs(sharpe * sqrt(n))")}) AS p, count(*) OVER () AS m FROM m), b AS (SELECT *, row_number() OVER (ORDER BY p, series_id) AS place FROM a),
 c AS (SELECT *, p * (m - place + 1) AS h, p * m * list_sum(list_transform(range(1, m + 1), lambda i: 1 / i)) / place AS y FROM b)
-SELECT series_id, round(p, 6) AS p, place, round(least(p * m, 1), 6) AS bonferroni, round(least(max(h) OVER (ORDER BY p, series_id), 1), 6) AS holm, round(least(min(y) OVER (ORDER BY p DESC, series_id DESC), 1), 6) AS bhy FROM c""")
+SELECT series_id, round(p, 6) AS p, place, round(least(p * m, 1), 6) AS bonferroni, round(least(max(h) OVER (ORDER BY p, series_id), 1), 6) AS holm, round(least(min(y) OVER (ORDER BY p DESC, series_id DESC), 1), 6) AS bhy,
+  round(least(h, 1), 6) AS holm_step, round(least(y, 1), 6) AS bhy_step, NOT EXISTS (SELECT 1 FROM c o WHERE o.place <= c.place AND o.p > 0.05 / (o.m - o.place + 1)) AS holm_significant, y <= 0.05 AS bhy_significant FROM c""")
 def haircut_panel(spark, sf_dir):
     rows = inference.sharpe_haircuts(summary.return_moments(daily_series(spark, sf_dir)))
-    return rounded(rows.select("series_id", "p", "place", "bonferroni", "holm", "bhy"))
+    return rounded(rows.select("series_id", "p", "place", "bonferroni", "holm", "bhy", "holm_step", "bhy_step", "holm_significant", "bhy_significant"))
 
 
 @query(DAILY + """, z AS (SELECT series_id, least((idx - 1) * 8 // count(*) OVER (PARTITION BY series_id), 7) AS fold, r FROM s), sc AS (SELECT series_id, fold, count(r) AS n, sum(r) AS total FROM z GROUP BY 1, 2),
