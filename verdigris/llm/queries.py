@@ -18,6 +18,8 @@ from .sharding import shard_documents
 from .simhash import near_components
 from .substrings import without_repeats
 from .toxicity import toxicity
+from .trie import prefix_trie
+from .urls import judge_urls, labelled_urls
 
 
 #: Lines that an equal line precedes by (doc_id, line number), or one within two edits of bytes, or within one where the
@@ -34,6 +36,23 @@ SELECT doc_id, coalesce(len(parts), 0) AS n_lines, n_equal, n_near, octet_length
 """
 
 
+#: Paths as lists of turns: a node's parent and subtree are told by the lists that it starts with. CRC-32 bit by bit.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 100 AS base, xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda s, x: list_reduce([xor(s, x)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: if(v & 1 = 1, xor(v >> 1, 3988292384), v >> 1))), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT k.c, 0 AS own, t.p, role, text FROM k JOIN t ON t.c = k.base AND t.p <= k.h UNION ALL SELECT k.c, 1, t.p, role, text FROM k JOIN t ON t.c = k.c AND t.p > k.h),
+o AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d FROM r),
+f AS (SELECT k.c, coalesce(list({'r': o.role, 't': o.text} ORDER BY d) FILTER (d IS NOT NULL), []) AS turns FROM k LEFT JOIN o USING (c) GROUP BY k.c),
+m AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM f),
+n AS (SELECT turns[1:d] AS path, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(turns) = d) AS ids FROM m GROUP BY ALL),
+q AS (SELECT n.*, p.conv_id AS parent_conv_id FROM n LEFT JOIN n p ON n.d = p.d + 1 AND n.path[1:n.d - 1] = p.path),
+h AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+u AS (SELECT q.*, coalesce(n_children, 0) AS n_children FROM q LEFT JOIN h USING (path)),
+s AS (SELECT path[1:i] AS path, sum((n_children = 0)::INT) AS n_leaves, sum(if(d = 0, 0, (n_convs - 1) * length(path[d].t))) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM u) GROUP BY ALL)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM u JOIN s USING (path)
+"""
+
+
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -75,9 +94,17 @@ def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), labelled_urls(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_segment_edit_lines": OP9_SQL}
+    return {"op9_segment_edit_lines": OP9_SQL, "op11_prefix_trie": OP11_SQL}
