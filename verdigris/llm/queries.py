@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary import id_digests
+from .collocations import collocations
 from .common import read_table
 from .flac import media_digests
 from .linededup import dedup_lines
@@ -53,6 +54,25 @@ SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT
 """
 
 
+#: Every phrase of every piece counted as a list of words; a cut's parts are phrases that are counted too.
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')), '[^ \t]+') AS w FROM documents),
+u AS MATERIALIZED (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT *, row_number() OVER () AS piece FROM p)),
+q AS (SELECT lang, list(w) OVER (PARTITION BY piece ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS w FROM u),
+g AS MATERIALIZED (SELECT lang, w[1:s] AS g, s, count(*) AS f FROM q, range(1, 6) z(s) WHERE s <= len(w) GROUP BY ALL HAVING s = 1 OR count(*) >= 100),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE s = 1 GROUP BY lang),
+k AS MATERIALIZED (SELECT lang, g, f AS a, k, g[1:k] AS lg, g[k + 1:] AS rg FROM (SELECT *, unnest(range(1, s)) AS k FROM g WHERE s > 1)),
+i AS MATERIALIZED (SELECT k.*, g.f AS l FROM k JOIN g ON g.lang = k.lang AND g.g = k.lg),
+j AS MATERIALIZED (SELECT i.*, g.f AS r FROM i JOIN g ON g.lang = i.lang AND g.g = i.rg),
+c AS MATERIALIZED (SELECT j.*, n, (1000::HUGEINT * a * n) // (l::HUGEINT * r) AS score FROM j JOIN t USING (lang)),
+b AS MATERIALIZED (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+x AS (SELECT lang, unnest(flatten(list_transform(range(1, s + 1), lambda i: list_transform(range(i, s + 1), lambda j: g[i:j])))) AS g, s, f FROM g WHERE s > 2),
+m AS MATERIALIZED (SELECT lang, g, max(f) AS f FROM x WHERE len(g) < s GROUP BY ALL),
+o AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN m USING (lang, g) WHERE m.f IS NULL OR 100 * m.f < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o QUALIFY rank <= 2000
+"""
+
+
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -102,9 +122,13 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), labelled_urls(spark))
 
 
+def op13_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_segment_edit_lines": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op9_segment_edit_lines": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_pivot_collocations": OP13_SQL}
