@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from . import cases
 
 
@@ -57,3 +59,28 @@ def test_one_of_each_matches_brute_force_jaccard(spark, monkeypatch):
     names = lambda x: sorted((str(r[0]), shingles(r[1]) if r[0] is None else "") for r in x)
     assert names(got) == names(want)
     assert P.near_dedup(spark, cases.table(spark, []), "").collect() == []
+
+
+@pytest.mark.parametrize("n", [300, 600])
+def test_pairs_stay_in_proportion_to_a_group(spark, monkeypatch, n):
+    """Variants of one text, two of 120 words changed in each: a twentieth of all pairs are near, and few are listed."""
+    from verdigris.llm import neardedup
+
+    rng, rows = random.Random(3), 0
+
+    def counted(f):
+        def run(*args):
+            nonlocal rows
+            out = neardedup.materialize(f(*args), "listed")
+            rows += out.count()
+            return out
+
+        return run
+
+    monkeypatch.setattr(neardedup, "forest_pairs", counted(neardedup.forest_pairs))
+    monkeypatch.setattr(neardedup, "meeting_pairs", counted(neardedup.meeting_pairs))
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    data = [(i, edited(base, i, 2), "en", "s", 0) for i in range(n)]
+    got = neardedup.one_of_each(cases.table(spark, data).repartition(4)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(data[i][0] for i in kept(data))
+    assert rows <= 10 * n

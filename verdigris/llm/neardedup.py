@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from .simhash import _whole_cells, components, fingerprint_of, links, shingle_ha
 WIDTH, SEED = 5, 42
 #: One document in so many is counted for shingles that are frequent, how many of these count, and members of a cell.
 SAMPLE, MOST_FREQUENT, BLOCK = 16, 200_000, 1024
-#: Longs of a set's sketch.
-SKETCH = 4
+#: Longs of a set's sketch, and shingles at the end of a prefix by which copies meet first.
+SKETCH, LASTS = 8, 2
 
 
 def least_common(n: int) -> int:
@@ -108,9 +108,75 @@ def grouped(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return classes.join(components(edges), F.col("c") == F.col("node"), "left").withColumn("component", F.coalesce("component", "c")).drop("node")
 
 
-def meeting_pairs(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Pairs (a, b) of ``classes`` in different components that may be near, all that are among them: these meet at the
-    first shingle, in the order of the prefixes, that both sets have. What either set has from there on bounds the
+def forest_pairs(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Pairs (a, b) of ``classes`` in different components that may be near: no more than ``LASTS`` for a class, whatever
+    the size of its group.
+
+    Copies with few changes mostly share the most frequent shingles of their prefixes, so classes meet by these alone,
+    in blocks where a cell is large. In a cell a search goes from class to class as far as sketches
+    and sizes allow, and lists the step by which each was reached first. It decides only which pairs are checked early.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(frequent)
+    fields = "cell long, c long, component long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        parts_of = dict(zip(keys[counts > BLOCK].tolist(), (-(-counts[counts > BLOCK] // BLOCK)).tolist()))
+        for batch in batches:
+            cells, times = [], []
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                own = np.frombuffer(raw, np.int64)[-LASTS:].tolist()
+                cells += [xxhash.xxh64_intdigest(f"{h} {c % parts_of.get(h, 1)}") - (1 << 63) for h in own]
+                times.append(len(own))
+            many = [pa.array(np.repeat(batch.column(i).to_numpy(), times)) for i in range(3)]
+            words = np.repeat(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(-1, SKETCH), times, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *many, *map(pa.array, np.ascontiguousarray(words.T))], names=names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, c, group, n, *words in _whole_cells(batches):
+            words = np.stack(words, axis=1).view(np.uint64)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1))
+            ends = np.concatenate((starts[1:], [len(cell)]))
+            some = np.minimum.reduceat(group, starts) < np.maximum.reduceat(group, starts)
+            for lo, hi in zip(starts[some].tolist(), ends[some].tolist()):
+                size, word = n[lo:hi], words[lo:hi]
+
+                def near(x: np.ndarray, y: np.ndarray, size=size, word=word) -> np.ndarray:
+                    apart = np.bitwise_count(word[x][:, None] ^ word[y][None, :]).sum(axis=2, dtype=np.int64)
+                    return (9 * apart <= size[x][:, None] + size[y]) & (5 * np.minimum(size[x][:, None], size[y]) >= 4 * np.maximum(size[x][:, None], size[y]))
+
+                left, right = steps(c[lo:hi], group[lo:hi], near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    rows = classes.select("c", "component", "n", "prefix", "sketch").mapInArrow(deal, fields)
+    rows = rows.repartition(parallelism(classes.sparkSession), "cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(search, "a long, b long")
+
+
+def steps(c: np.ndarray, group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of a search through the members of a cell: each reached by one to which ``near`` (of two index arrays) holds,
+    unless a member of its own group was reached with it."""
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    rest = np.argsort(c)
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            part, front = front[: max(1, 500_000 // len(rest))], front[max(1, 500_000 // len(rest)) :]
+            may, same = near(part, rest), group[part][:, None] == group[rest]
+            step = may.any(axis=0) & ~same.any(axis=0)
+            left.append(c[part[may.argmax(axis=0)[step]]])
+            right.append(c[rest[step]])
+            hit = may.any(axis=0) | same.any(axis=0)
+            front, rest = np.concatenate((front, rest[hit])), rest[~hit]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def meeting_pairs(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], every: bool) -> DataFrame:
+    """Pairs (a, b) of ``classes`` in different components that may be near: ``every`` one, so all that are, or else the
+    steps that join each cell's members. Near sets meet at the first shingle, in the order of the prefixes, that both have. What either set has from there on bounds the
     shingles in common, and the sketches bound those that are not; pairs beyond a bound are not listed. Cells of
     frequent shingles are cut into blocks, and each pair of blocks is a cell."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent)
@@ -148,6 +214,16 @@ def meeting_pairs(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -
             ends = np.concatenate((starts[1:], [len(cell)]))
             some = np.minimum.reduceat(group, starts) < np.maximum.reduceat(group, starts)
             for lo, hi in zip(starts[some].tolist(), ends[some].tolist()):
+                if not every:
+                    size, left, sides, word = n[lo:hi], rest[lo:hi], side[lo:hi], words[:, lo:hi]
+
+                    def near(x: np.ndarray, y: np.ndarray, size=size, left=left, sides=sides, word=word) -> np.ndarray:
+                        out = (9 * np.minimum(left[x][:, None], left[y]) >= 4 * (size[x][:, None] + size[y])) & ((sides[x][:, None] < 0) | (sides[x][:, None] != sides[y]))
+                        return out & (9 * np.bitwise_count(word[:, x, None] ^ word[:, None, y]).sum(axis=0, dtype=np.int64) <= size[x][:, None] + size[y])
+
+                    a, b = steps(c[lo:hi], group[lo:hi], near)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    continue
                 for at in range(lo, hi, BLOCK):
                     x, y = slice(at, min(hi, at + BLOCK)), slice(lo, hi)
                     near = (c[x][:, None] < c[y]) & (group[x][:, None] != group[y]) & ((side[x][:, None] < 0) | (side[x][:, None] != side[y]))
@@ -170,9 +246,9 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     or more between sets of five-word shingles: the one with the smallest doc_id, and of several texts under it the one
     with the smallest hash. Rows without a doc_id give way to those with one. Texts without words are alike.
 
-    Documents with one set are one class. SimHash links within ``radius`` bits, each checked, join most near classes
-    without listing all pairs of a large group; at 0.8 about 10 of 64 bits differ, so the prefix join then finds every
-    near pair that is still apart. No pair is missed or joined by chance, but for equal 64-bit hashes.
+    Documents with one set are one class. SimHash links within ``radius`` bits and two rounds of steps through cells of
+    shared shingles, each checked on whole sets, join most near classes with no more pairs than cells have members. The prefix join then finds every near pair of different groups, so a group that is together is not
+    listed pair by pair. No pair is missed or joined by chance, but for equal 64-bit hashes.
     """
     (key,) = fresh(docs.columns, "_row_key")
     rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
@@ -185,8 +261,11 @@ def one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     hops = links(reps.select("fingerprint"), radius)
     for end in ("a", "b"):
         hops = hops.join(reps.select(F.col("fingerprint").alias(end), F.col("rep").alias(f"_{end}")), end)
-    near = near_pairs(same.union(hops.select("_a", "_b")), classes, own)
-    met = meeting_pairs(materialize(grouped(classes, near), "groups"), frequent)
+    alone = classes.withColumn("component", F.col("c"))
+    near = near_pairs(same.union(hops.select("_a", "_b")).union(forest_pairs(alone, frequent)), classes, own)
+    groups = materialize(grouped(classes, near), "groups")
+    near = near.union(near_pairs(meeting_pairs(groups, frequent, False), classes, own))
+    met = meeting_pairs(materialize(grouped(classes, near), "groups"), frequent, True)
     groups = grouped(classes.select("c"), near.union(near_pairs(met, classes, own)))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k")
     first = marks.select("doc_id", "k", "c").join(groups, "c").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.k").alias(key))
