@@ -48,7 +48,7 @@ def test_bars(spark):
 
     bars = spark.createDataFrame([(1, i, h, low, c) for i, (h, low, c) in enumerate([(5.0, 1.0, 3.0), (9.0, 8.0, 8.5), (4.0, 2.0, 3.0)])], "k int, at int, high double, low double, close double")
     got = indicators.true_range(bars, "k", "at", n=2).orderBy("at").collect()
-    assert [r.tr for r in got] == [None, 6.0, 6.5] and [r.atr for r in got] == [None, None, 6.25]
+    assert [r.tr for r in got] == [None, 6.0, 6.5] and [r.atr for r in got] == [4.0, 6.0, 6.25]
     got = indicators.floor_pivots(bars, "k", "at").orderBy("at").collect()
     assert got[0].pp is None and (got[1].pp, got[1].r1, got[1].s1, got[1].r2, got[1].s2) == (3.0, 5.0, 1.0, 7.0, -1.0)
     flat = bars.withColumns({c: F.lit(2.0) for c in ("high", "low", "close")})
@@ -67,12 +67,41 @@ def test_sets(spark):
     assert sorted(map(tuple, sets.first_layer_union(log, ["k"], "seq").collect())) == [("a", 1, 3), ("b", 2, 1)]
 
 
+def test_sets_tell_values_apart(spark):
+    from verdigris.operators import sets
+
+    log = spark.createDataFrame([("f", "x|y", "z", 1), ("f", "x", "y|z", 2), ("f", None, "q", 3), ("f", "", "q", 4), ("f", "", "q", 5)], "k string, a string, b string, seq int")
+    assert tuple(sets.distinct_trials(log, "k", ["a", "b"]).first()) == ("f", 4, 5)
+    left = sets.consume_once(log, log.filter("a IS NULL"), ["k", "a"], "seq").collect()
+    assert sorted(r.seq for r in left) == [1, 2, 4]
+
+
+def test_changes_are_between_weeks_side_by_side(spark):
+    import datetime
+
+    from verdigris.operators import indicators
+
+    days = [("s", datetime.date(2024, 1, d), float(v)) for d, v in ((1, 1), (3, 2), (8, 3), (22, 6))]
+    got = indicators.week_closes(spark.createDataFrame(days, "k string, day date, v double"), "k", "day", "v").orderBy("week").collect()
+    assert [(r.close, r.change) for r in got] == [(2.0, None), (3.0, 0.5), (6.0, None)]
+
+
+def test_yearly_rates_count_series_alike(spark):
+    import datetime
+
+    from verdigris.operators import indicators
+
+    rows = [("a", datetime.date(2024, 1, d), 0.01) for d in range(1, 10)] + [("b", datetime.date(2024, 2, 1), 0.03), ("b", datetime.date(2024, 2, 2), None), ("b", datetime.date(2025, 2, 2), -0.01)]
+    got = indicators.yearly_rates(spark.createDataFrame(rows, "k string, day date, r double"), "k", "day", "r", year=100).orderBy("year").collect()
+    assert [(r.year, r.series, r.n, round(r.apr, 9)) for r in got] == [(2024, 2, 10, 2.0), (2025, 1, 1, -1.0)]
+
+
 def test_fits(spark):
     from verdigris.operators import indicators
 
     rows = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(zip(range(12), [1, 3, 2, 5, 4, 7, 6, 9, 8, 11, 10, 13]))] + [(2, 0, 1.0, 1.0)], "k int, i int, x double, y double")
     got = {r.k: r for r in indicators.slope_t(rows, "k", "x", "y").collect()}
-    assert (got[2].beta, got[2].t) == (0.0, 0.0) and math.isclose(got[1].beta, 1.0, abs_tol=0.05) and got[1].t > 10
+    assert (got[2].beta, got[2].t) == (None, None) and math.isclose(got[1].beta, 1.0, abs_tol=0.05) and got[1].t > 10
     got = {r.k: r for r in indicators.ordinal_spearman(rows, "k", "x", "y", "i").collect()}
     assert got[1].n == 12 and 0.9 < got[1].spearman < 1
     assert indicators.annual_sharpe(series(spark, [0.1, 0.1]), "series_id").first().sharpe == 0.0

@@ -56,11 +56,11 @@ def channel_index(bars: DataFrame, by: str, order: str, n: int = 20) -> DataFram
 
 
 def true_range(bars: DataFrame, by: str, order: str, n: int = 14) -> DataFrame:
-    """Mean true range of the last ``n`` bars that have one before."""
+    """True range of each bar that has one before, and atr: the mean of the ranges there are among the last ``n`` bars,
+    or high less low on the first bar."""
     last = F.lag("close").over(Window.partitionBy(by).orderBy(order))
-    w = frame(n, by=by, order=order)
     rows = bars.withColumn("tr", F.when(last.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))))
-    return rows.withColumn("atr", full(F.avg("tr").over(w), F.col("tr"), n, w))
+    return rows.withColumn("atr", F.coalesce(F.avg("tr").over(frame(n, by=by, order=order)), F.col("high") - F.col("low")))
 
 
 def annual_sharpe(series: DataFrame, by: str, r: str = "r", year: int = 365) -> DataFrame:
@@ -76,16 +76,25 @@ def ordinal_spearman(rows: DataFrame, by: str, x: str, y: str, tie: str) -> Data
 
 
 def slope_t(rows: DataFrame, by: str, x: str, y: str, least: int = 10) -> DataFrame:
-    """n, slope and t value of the least-squares line of ``y`` on ``x``; groups of under ``least`` rows have 0 for both."""
+    """n, slope and t value of the least-squares line of ``y`` on ``x``; groups of under ``least`` rows have none:
+    0 would read as no effect."""
     out = rows.groupBy(by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("b"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
     left = F.greatest(F.col("syy") - F.col("b") ** 2 * F.col("sxx"), F.lit(0.0))
     error = F.sqrt(left / (F.col("n") - 2) / F.col("sxx"))
     enough = (F.col("n") >= least) & (F.col("sxx") > 0)
-    return out.select(by, "n", F.when(enough, F.col("b")).otherwise(0.0).alias("beta"), F.when(enough & (error > 0), F.col("b") / error).otherwise(0.0).alias("t"))
+    return out.select(by, "n", F.when(enough, F.col("b")).alias("beta"), F.when(enough & (error > 0), F.col("b") / error).alias("t"))
 
 
 def week_closes(series: DataFrame, by: str, day: str, v: str) -> DataFrame:
-    """The last value of each week from Monday, and its change from the last week that has one."""
+    """The last value of each week from Monday, and its change from the week before; null if that week has none."""
     weeks = series.groupBy(by, F.to_date(F.date_trunc("week", day)).alias("week")).agg(F.max_by(v, day).alias("close"))
-    last = F.lag("close").over(Window.partitionBy(by).orderBy("week"))
-    return weeks.withColumn("change", F.try_divide("close", last) - 1)
+    w = Window.partitionBy(by).orderBy("week")
+    next_to = F.date_sub("week", 7) == F.lag("week").over(w)
+    return weeks.withColumn("change", F.when(next_to, F.try_divide("close", F.lag("close").over(w)) - 1))
+
+
+def yearly_rates(series: DataFrame, by: str, day: str, r: str, year: int = 365) -> DataFrame:
+    """Each year's annual rate: the mean over series of their mean changes times a year's rows, every series alike
+    whatever its rows; and the series and changes behind it."""
+    each = series.filter(F.col(r).isNotNull()).groupBy(by, F.year(day).cast("long").alias("year")).agg(F.count(r).alias("n"), (F.avg(r) * year).alias("apr"))
+    return each.groupBy("year").agg(F.count(F.lit(1)).alias("series"), F.sum("n").alias("n"), F.avg("apr").alias("apr"))

@@ -27,13 +27,16 @@ def last_wins(rows: DataFrame, key: str, seq: str, value: str) -> DataFrame:
 
 
 def distinct_trials(rows: DataFrame, family: str, config: list[str]) -> DataFrame:
-    """How many different configurations of each family an append log holds, by their hashes."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in config])
-    hashed = rows.select(family, F.sha2(text, 256).alias("hash"))
+    """How many different configurations of each family an append log holds: by hash of the JSON of all their values, so
+    that null, an empty text and a separator within a value are told apart."""
+    whole = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(config)]), {"ignoreNullFields": "false"})
+    hashed = rows.select(family, F.sha2(whole, 256).alias("hash"))
     return hashed.groupBy(family).agg(F.count_distinct("hash").alias("trials"), F.count(F.lit(1)).alias("runs"))
 
 
 def consume_once(asked: DataFrame, used: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """The rows of ``asked`` whose key is neither in ``used`` nor asked for before; ties go to the smallest ``seq``."""
-    fresh = asked.join(used.select(*key).distinct(), key, "left_anti")
+    """The rows of ``asked`` whose key is neither in ``used`` nor asked for before; ties go to the smallest ``seq``. A null
+    is a value like others: once used it is used."""
+    spent = used.select(*[F.col(c).alias(f"_used_{i}") for i, c in enumerate(key)]).distinct()
+    fresh = asked.join(spent, [asked[c].eqNullSafe(spent[f"_used_{i}"]) for i, c in enumerate(key)], "left_anti")
     return fresh.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy(seq))).filter("_turn = 1").drop("_turn")

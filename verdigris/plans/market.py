@@ -47,8 +47,8 @@ def channel_index(spark, sf_dir):
     return indicators.channel_index(bars_of(spark, sf_dir), "event_type", "bar").filter("cci IS NOT NULL").select("event_type", "bar", F.round("cci", 4).alias("cci"))
 
 
-@query(BARS.format(600) + """, l AS (SELECT *, lag(close) OVER (PARTITION BY event_type ORDER BY bar) AS last FROM b), t AS (SELECT event_type, bar, CASE WHEN last IS NOT NULL THEN greatest(high - low, abs(high - last), abs(low - last)) END AS tr FROM l)
-SELECT event_type, bar, round(tr, 6) AS tr, round(CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END, 6) AS atr FROM t WINDOW w AS (PARTITION BY event_type ORDER BY bar ROWS 13 PRECEDING)""")
+@query(BARS.format(600) + """, l AS (SELECT *, lag(close) OVER (PARTITION BY event_type ORDER BY bar) AS last FROM b), t AS (SELECT event_type, bar, high, low, CASE WHEN last IS NOT NULL THEN greatest(high - low, abs(high - last), abs(low - last)) END AS tr FROM l)
+SELECT event_type, bar, round(tr, 6) AS tr, round(coalesce(avg(tr) OVER w, high - low), 6) AS atr FROM t WINDOW w AS (PARTITION BY event_type ORDER BY bar ROWS 13 PRECEDING)""")
 def true_range(spark, sf_dir):
     return rounded(indicators.true_range(bars_of(spark, sf_dir), "event_type", "bar").select("event_type", "bar", "tr", "atr"))
 
@@ -66,23 +66,22 @@ def ordinal_spearman(spark, sf_dir):
 
 
 @query(DAILY + """, x AS (SELECT series_id, r, lead(r) OVER (PARTITION BY series_id ORDER BY idx) AS next FROM s), g AS (SELECT series_id, regr_count(next, r) AS n, regr_slope(next, r) AS b, regr_sxx(next, r) AS sxx, regr_syy(next, r) AS syy FROM x GROUP BY 1),
-e AS (SELECT *, sqrt(greatest(syy - b * b * sxx, 0) / (n - 2) / sxx) AS se FROM g) SELECT series_id, CAST(n AS BIGINT) AS n, round(CASE WHEN n >= 10 AND sxx > 0 THEN b ELSE 0 END, 6) AS beta, round(CASE WHEN n >= 10 AND sxx > 0 AND se > 0 THEN b / se ELSE 0 END, 6) AS t FROM e""")
+e AS (SELECT *, sqrt(greatest(syy - b * b * sxx, 0) / (n - 2) / sxx) AS se FROM g) SELECT series_id, CAST(n AS BIGINT) AS n, round(CASE WHEN n >= 10 AND sxx > 0 THEN b END, 6) AS beta, round(CASE WHEN n >= 10 AND sxx > 0 AND se > 0 THEN b / se END, 6) AS t FROM e""")
 def slope_t(spark, sf_dir):
     rows = daily_series(spark, sf_dir).withColumn("next", F.lead("r").over(Window.partitionBy("series_id").orderBy("idx")))
     return rounded(indicators.slope_t(rows, "series_id", "r", "next"))
 
 
 @query("""WITH d AS (SELECT CAST(c_nationkey AS BIGINT) AS series_id, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), w AS (SELECT series_id, CAST(date_trunc('week', day) AS DATE) AS week, arg_max(v, day) AS close FROM d GROUP BY 1, 2)
-SELECT series_id, week, round(close, 2) AS close, round(close / lag(close) OVER (PARTITION BY series_id ORDER BY week) - 1, 6) AS change FROM w""")
+SELECT series_id, week, round(close, 2) AS close, round(close / max(close) OVER (PARTITION BY series_id ORDER BY week RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) - 1, 6) AS change FROM w""")
 def weekly_closes(spark, sf_dir):
     rows = indicators.week_closes(nation_values(spark, sf_dir, "day"), "series_id", "day", "v")
     return rows.select("series_id", "week", F.round("close", 2).alias("close"), F.round("change", 6).alias("change"))
 
 
-@query(DAILY + " SELECT CAST(year(day) AS BIGINT) AS year, count(r) AS n, round(avg(r) * 365, 6) AS apr FROM s WHERE r IS NOT NULL GROUP BY 1")
+@query(DAILY + ", y AS (SELECT series_id, CAST(year(day) AS BIGINT) AS year, count(r) AS n, avg(r) * 365 AS apr FROM s WHERE r IS NOT NULL GROUP BY 1, 2) SELECT year, count(*) AS series, CAST(sum(n) AS BIGINT) AS n, round(avg(apr), 6) AS apr FROM y GROUP BY 1")
 def yearly_decay(spark, sf_dir):
-    rows = daily_series(spark, sf_dir).filter("r IS NOT NULL").groupBy(F.year("day").cast("long").alias("year"))
-    return rounded(rows.agg(F.count("r").alias("n"), (F.avg("r") * 365).alias("apr")))
+    return rounded(indicators.yearly_rates(daily_series(spark, sf_dir), "series_id", "day", "r"))
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, count(*) AS trades, round(avg(value), 6) AS mean, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM events WHERE event_type = 'purchase' GROUP BY 1""")
@@ -118,7 +117,7 @@ def last_run(spark, sf_dir):
     return sets.last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-@query("SELECT l_returnflag AS family, count(DISTINCT sha256(concat(l_linestatus, '|', CAST(l_suppkey AS VARCHAR)))) AS trials, count(*) AS runs FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS family, count(DISTINCT {'a': l_linestatus, 'b': l_suppkey}) AS trials, count(*) AS runs FROM lineitem GROUP BY 1")
 def honest_trials(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("family"), "l_linestatus", "l_suppkey")
     return sets.distinct_trials(rows, "family", ["l_linestatus", "l_suppkey"])
