@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
-#: White space between words, and the characters that count as symbols.
-SPACE, WORD, SYMBOLS, UPPER = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]", "[A-Z]"
-#: The transformed statistics, and the least deviation that each is taken to have in any group: shares that are zero
-#: in nearly all documents have none of their own.
-STATISTICS = {"z_word": 0.15, "z_symbol": 0.07, "z_line": 0.25, "z_repeat": 0.15, "z_upper": 0.15}
-#: Share of a group in the determinant's subset, concentration steps, and the squared distance beyond which a document
-#: is rejected: little over the 0.999 quantile of chi-squared with 5 degrees of freedom.
-SUBSET, STEPS, CUTOFF = 0.75, 4, 22.0
-
-
-#: 0.75 over the chi-squared distribution function, 7 degrees of freedom, at the 0.75 quantile for 5: the
-#: variance that a normal core of three quarters of the rows loses; then the 0.975 quantile, and the same for it.
-CONSISTENCY, INNER, INNER_CONSISTENCY = 1.62, 12.83, 1.0555
+#: White space between words, what counts as symbols, as marks (with punctuation) and as capitals.
+SPACE, WORD, SYMBOLS, MARKS, UPPER = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]", r"[\p{P}\p{S}]", "[A-Z]"
+#: The transformed statistics: those that vary in ordinary prose. Repeated lines and words are not among them: nearly all
+#: documents have none, so any would be beyond all bounds; base rules and line dedup see to these.
+STATISTICS = ("z_word", "z_mark", "z_upper")
+#: Share of a group's different vectors in the determinant's subset, and that within which the last step takes rows.
+SUBSET, INNER = 0.75, 0.975
+#: The squared distance beyond which a document is rejected: ten robust deviations. Short texts have heavy tails; by
+#: Chebyshev's inequality no distribution has over 3 / 100 of its rows there, and a normal one none to speak of.
+CUTOFF = 100.0
+#: Vectors of the language that a source's scatter is averaged with: ten for each statistic. It decides for sources of a few
+#: documents and fades in others.
+PRIOR = 10 * len(STATISTICS)
+#: Share of a statistic's variance over all vectors that is added to singular scatters: it keeps the arithmetic defined.
+RELATIVE_FLOOR = 1e-6
+
+
+def chi_squared(d: int, x: float) -> float:
+    """The distribution function with ``d`` degrees of freedom at ``x``."""
+    k, out = 2 - d % 2, 1 - math.exp(-x / 2) if d % 2 == 0 else math.erf(math.sqrt(x / 2))
+    while k < d:
+        out -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+        k += 2
+    return out
+
+
+def core(d: int, share: float) -> tuple[float, float]:
+    """The squared distance that holds ``share`` of a normal distribution in ``d`` dimensions, and what the variance of
+    these rows must be multiplied by to be that of all."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_squared(d, mid) < share else (low, mid)
+    return low, share / chi_squared(d + 2, low)
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -28,15 +51,15 @@ def count(text: Column, pattern: str) -> Column:
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the base statistics n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every whole
-    text, and n_lines and n_upper, for the transformed ones. Null counts as a text without words. One projection
+    text, and n_marks and n_upper, for the transformed ones. Null counts as a text without words. One projection
     after another over the same row: no shuffle."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    rows = rows.select(*keep, F.array_remove(F.split("text", SPACE), "").alias("words"), lines.alias("lines"), count(F.col("text"), SYMBOLS).alias("n_symbols"), count(F.col("text"), UPPER).alias("n_upper"))
+    rows = rows.select(*keep, F.array_remove(F.split("text", SPACE), "").alias("words"), lines.alias("lines"), count(F.col("text"), SYMBOLS).alias("n_symbols"), count(F.col("text"), UPPER).alias("n_upper"), count(F.col("text"), MARKS).alias("n_marks"))
     rows = rows.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    base = [*keep, "word_chars", "n_symbols", "n_upper"]
-    rows = rows.select(*base, F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    base += ["n_words", "n_lines", "n_dup_lines"]
+    base = [*keep, "word_chars", "n_symbols", "n_upper", "n_marks"]
+    rows = rows.select(*base, F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    base += ["n_words", "n_dup_lines"]
     for step in (1, 2, 4):  # hashes of windows of 2, 4 and 8 words from those of half as many
         n = F.greatest(F.size("h") - step, F.lit(0))
         rows = rows.select(*base, F.zip_with(F.slice("h", F.lit(1), n), F.slice("h", F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b)).alias("h"))
@@ -53,76 +76,106 @@ def base_failed() -> Column:
 
 
 def transformed() -> dict[str, Column]:
-    """Logarithm of the mean word length, and square roots of shares, which evens out their spread."""
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
-    return {
-        "z_word": F.ln(chars / words),
-        "z_symbol": F.sqrt(F.col("n_symbols") / chars),
-        "z_line": F.sqrt(F.col("n_dup_lines") / lines),
-        "z_repeat": F.sqrt(F.col("n_repeat_words") / words),
-        "z_upper": F.sqrt(F.col("n_upper") / chars),
-    }
-
-
-def distance(names: list[str]) -> Column:
-    """Squared Mahalanobis distance of ``names`` from ``m_<name>`` under the covariances ``c_<i>_<j>``, by Cholesky
-    factor and forward substitution written out as columns."""
-    d, low, y = len(names), {}, []
-    for i in range(d):
+    """Logarithm of the mean word length, and square roots of the shares of marks and capitals, which evens out spread."""
+    words, chars = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars"))
+    return {"z_word": F.ln(chars / words), "z_mark": F.sqrt(F.col("n_marks") / chars), "z_upper": F.sqrt(F.col("n_upper") / chars)}
+
+
+def pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(STATISTICS)) for j in range(i, len(STATISTICS))]
+
+
+#: Columns of an estimate: location and scatter.
+PLACE, SCATTER = [f"m_{c}" for c in STATISTICS], [f"c_{i}_{j}" for i, j in pairs()]
+
+
+def factor() -> tuple[dict[tuple[int, int], Column], Column]:
+    """Cholesky factor of the scatter in ``c_<i>_<j>``, and the logarithm of its determinant."""
+    low: dict[tuple[int, int], Column] = {}
+    for i in range(len(STATISTICS)):
         for j in range(i + 1):
-            low[i, j] = F.col(f"l_{i}_{j}")
-    for i in range(d):
-        y.append((F.col(names[i]) - F.col(f"m_{names[i]}") - sum((low[i, k] * y[k] for k in range(i)), F.lit(0.0))) / low[i, i])
+            rest = F.col(f"c_{j}_{i}") - sum((low[i, k] * low[j, k] for k in range(j)), F.lit(0.0))
+            # the added floor keeps a pivot over zero but for rounding
+            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-24))) if i == j else rest / low[j, j]
+    return low, 2 * sum((F.ln(low[i, i]) for i in range(len(STATISTICS))), F.lit(0.0))
+
+
+def with_factor(estimates: DataFrame) -> DataFrame:
+    """Add the factor as ``l_<i>_<j>`` and ``det``, the logarithm of the determinant."""
+    low, det = factor()
+    return estimates.withColumns({f"l_{i}_{j}": c for (i, j), c in low.items()} | {"det": det})
+
+
+def distance() -> Column:
+    """Squared Mahalanobis distance of the statistics from an estimate with its factor, by forward substitution."""
+    y: list[Column] = []
+    for i, c in enumerate(STATISTICS):
+        y.append((F.col(c) - F.col(f"m_{c}") - sum((F.col(f"l_{i}_{k}") * y[k] for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}"))
     return sum((v * v for v in y), F.lit(0.0))
 
 
-def with_factor(estimates: DataFrame, names: list[str]) -> DataFrame:
-    """Add the Cholesky factor ``l_<i>_<j>`` of each row's covariance ``c_<i>_<j>`` (i <= j)."""
-    for i in range(len(names)):
-        for j in range(i + 1):
-            rest = F.col(f"c_{j}_{i}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            # the diagonal holds at least a tenth of its floor, whatever rounding leaves
-            value = F.sqrt(F.greatest(rest, F.lit(0.01 * STATISTICS[names[i]] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}")
-            estimates = estimates.withColumn(f"l_{i}_{j}", value)
-    return estimates
-
-
-def covariance_estimates(rows: DataFrame, group: list[str], subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and scatter of each ``group``: columns ``m_<name>`` and ``l_<i>_<j>``.
-
-    Starts from coordinate medians and deviations from them, then concentrates: the ``subset`` of a group's rows that
-    lie nearest under the present estimate give the next one, and the determinant falls with each step. The quantile
-    of the distances and the moments are aggregated map-side first, so a group with a third of all rows is no
-    burden. The scatter is made consistent for a normal core. As far-off rows leave a subset with more of the core than
-    supposed, a last step takes all rows within ``INNER`` of that estimate instead. Every scatter has the floors of
-    ``STATISTICS`` added to its diagonal. A group of one row has its values and the floors alone.
+def moments(rows: DataFrame, group: list[str], scale: float, floor: list[float]) -> DataFrame:
+    """Location, scatter (times ``scale``, with ``floor`` on its diagonal), its factor and ``n`` of each group's rows; sums are
+    made map-side first, so a group with a third of all rows is no burden."""
+    products = [F.avg(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"c_{i}_{j}") for i, j in pairs()]
+    out = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATISTICS], *products)
+    central = {f"c_{i}_{j}": (F.col(f"c_{i}_{j}") - F.col(f"m_{STATISTICS[i]}") * F.col(f"m_{STATISTICS[j]}")) * scale + (floor[i] if i == j else 0.0) for i, j in pairs()}
+    return with_factor(out.withColumns(central))
+
+
+def least_determinants(rows: DataFrame, group: list[str], floor: list[float], subset: float = SUBSET) -> DataFrame:
+    """Minimum-covariance-determinant estimate of each ``group`` of ``rows``: location, scatter and its factor.
+
+    From two starts, medians with deviations from them and means with the whole scatter, groups concentrate: the
+    ``subset`` of rows nearest under the present estimate give the next. A step that lowers the determinant is taken,
+    until none does in any group (each takes finitely many); the start with the lesser determinant counts. All groups and
+    starts take a step in one job, and what reaches the driver is how many moved.
+    """
+    tried = [*group, "start"]
+    rows = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    first, scale = rows.filter("start = 0"), core(len(STATISTICS), subset)[1]
+    centre = first.groupBy(*tried).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in STATISTICS])
+    spread = same_group(first, centre, tried).groupBy(*tried).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in STATISTICS])
+    scatter = {f"c_{i}_{j}": F.pow(F.col(f"d_{STATISTICS[i]}") * 1.4826, 2) + floor[i] if i == j else F.lit(0.0) for i, j in pairs()}
+    medians = with_factor(same_group(centre, spread, tried).withColumns(scatter))
+    means = moments(rows.filter("start = 1"), tried, 1.0, floor)
+    names = [*tried, "n", *PLACE, *SCATTER, *[f"l_{i}_{j}" for i in range(len(STATISTICS)) for j in range(i + 1)], "det"]
+    # a start's own determinant is that of no subset, so the first step is always taken
+    now = materialize(medians.select(*names).union(means.select(*names)).withColumn("det", F.lit(float("inf"))), "estimates")
+    while True:
+        placed = same_group(rows, now.drop("n", "det"), tried).withColumn("dist", distance()).select(*tried, *STATISTICS, "dist")
+        cut = placed.groupBy(*tried).agg(F.percentile_approx("dist", subset, 10_000).alias("cut"))
+        found = moments(same_group(placed, cut, tried).filter("dist <= cut"), tried, scale, floor).withColumnRenamed("det", "next_det")
+        step = same_group(found, now.select(*tried, "det"), tried).withColumn("moved", F.col("next_det") < F.col("det") - 1e-9)
+        old = same_group(now, step.select(*tried, "moved"), tried)
+        new = materialize(step.filter("moved").withColumn("det", F.col("next_det")).select(*names, "moved").union(old.filter("not moved").select(*names, "moved")), "estimates")
+        now = new.drop("moved")
+        if not new.filter("moved").head(1):
+            break
+    best = now.groupBy(*group).agg(F.min(F.struct("det", "start", *[c for c in names if c not in (*tried, "det")])).alias("best"))
+    return best.select(*group, *[f"best.{c}" for c in names if c not in tried])
+
+
+def covariance_estimates(rows: DataFrame) -> DataFrame:
+    """Location and factor of the scatter for each lang and source of ``rows`` (lang, source and the statistics).
+
+    Different vectors count once, so a group of copies of any size is one point. Each source's and each language's
+    estimate has the least determinant of a subset, then takes all rows that lie within the ``INNER`` share of a normal core
+    of it. A source's scatter is the average of its own and, with the weight of ``PRIOR`` vectors, its language's.
     """
-    names = list(STATISTICS)
-    d = len(names)
-    centre = rows.groupBy(*group).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in names])
-    spread = same_group(rows, centre, group).groupBy(*group).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in names])
-    now = same_group(centre, spread, group)
-    for i, c in enumerate(names):
-        for j in range(i, d):
-            now = now.withColumn(f"c_{i}_{j}", (F.col(f"d_{c}") * 1.4826) ** 2 + F.lit(STATISTICS[c] ** 2) if i == j else F.lit(0.0))
-    now = materialize(with_factor(now, names).select(*group, *[f"m_{c}" for c in names], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]), "estimates")
-    for step in range(steps + 1):
-        placed = same_group(rows, now, group).withColumn("dist", distance(names)).select(*group, *names, "dist")
-        if step < steps:
-            cut = placed.groupBy(*group).agg(F.percentile_approx("dist", subset, 10_000).alias("cut"))
-            core, scale = same_group(placed, cut, group).filter("dist <= cut"), F.lit(CONSISTENCY)
-        else:
-            core, scale = placed.filter(F.col("dist") <= INNER), F.lit(INNER_CONSISTENCY)
-        products = [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i in range(d) for j in range(i, d)]
-        now = core.groupBy(*group).agg(*[F.avg(c).alias(f"m_{c}") for c in names], *products)
-        for i in range(d):
-            for j in range(i, d):
-                c = F.col(f"p_{i}_{j}") - F.col(f"m_{names[i]}") * F.col(f"m_{names[j]}")
-                now = now.withColumn(f"c_{i}_{j}", c * scale + F.lit(STATISTICS[names[i]] ** 2) if i == j else c * scale)
-        now = materialize(with_factor(now, names).select(*group, *[f"m_{c}" for c in names], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]), "estimates")
-    return now
+    vectors = materialize(rows.distinct(), "vectors")
+    whole = vectors.agg(*[F.var_pop(c).alias(c) for c in STATISTICS]).first()
+    floor = [RELATIVE_FLOOR * (whole[c] or 0.0) + 1e-18 for c in STATISTICS]
+    levels = vectors.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("source", F.when(F.col("level") == 0, F.col("source")))
+    group = ["level", "lang", "source"]
+    bound, scale = core(len(STATISTICS), INNER)
+    near = same_group(levels, least_determinants(levels, group, floor).drop("n"), group).filter(distance() <= bound).select(*group, *STATISTICS)
+    found = materialize(moments(near, group, scale, floor), "estimates")
+    own = found.filter("level = 0").select("lang", "source", "n", *PLACE, *SCATTER)
+    of_lang = found.filter("level = 1").select("lang", *[F.col(c).alias(f"lang_{c}") for c in SCATTER])
+    both = same_group(own, of_lang, ["lang"])
+    both = both.withColumns({c: (F.col("n") * F.col(c) + PRIOR * F.col(f"lang_{c}")) / (F.col("n") + PRIOR) for c in SCATTER})
+    return with_factor(both.select("lang", "source", *PLACE, *SCATTER)).drop(*SCATTER, "det")
 
 
 def same_group(rows: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
@@ -138,8 +191,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance and kept.
 
     ``kept`` is false if the base rules fail, else whether the document's transformed statistics lie within the cutoff
-    of the minimum-covariance-determinant estimate for its language and source, fitted on the documents of that group
-    that pass the base rules. Null and empty texts have no words and fail. Null languages and sources are groups of
+    of the minimum-covariance-determinant estimate for its language and source, fitted on the different vectors of that
+    group's documents that pass the base rules. Null and empty texts have no words and fail. Null languages and sources are groups of
     their own. Repeated rows count as often as they are there; an empty table gives none; other columns are not read.
     """
     return judged(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
@@ -165,8 +218,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``stats`` with distance and kept. A group without a document that passes the base rules has no estimate, and no
+    document to judge."""
     group = ["lang", "source"]
-    estimates = covariance_estimates(stats.filter("not base_failed").select(*group, *STATISTICS), group)
+    estimates = covariance_estimates(stats.filter("not base_failed").select(*group, *STATISTICS))
     rows = stats.join(estimates.withColumnsRenamed({g: f"_of_{g}" for g in group}), [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group], "left")
-    rows = rows.withColumn("distance", distance(list(STATISTICS)))
+    rows = rows.withColumn("distance", distance())
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
