@@ -49,6 +49,6 @@ def clashing(df):
     """``df`` with further columns whose names an operator might use itself."""
     from pyspark.sql import functions as F
 
-    for name in ("shard", "slot", "bucket", "ids", "fingerprint", "n_words", "kept", "line", "score", "key", "file", "rep", "a", "b", "copies"):
+    for name in ("shard", "slot", "bucket", "ids", "fingerprint", "n_words", "kept", "line", "score", "key", "file", "rep", "a", "b", "copies", "_of", "_text", "_t", "_of_lang", "_row_key", "words", "features", "row", "gone", "h", "g", "own"):
         df = df.withColumn(name, F.lit("x"))
     return df

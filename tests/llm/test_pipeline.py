@@ -27,6 +27,24 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def test_mixing_stage(spark, tmp_path):
+    """Every document comes as often as its copies say, with its own columns, whatever further ones are called."""
+    import corpus_pipeline as P
+    from verdigris.llm.mixing import rates
+
+    data = cases.rows(40)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = cases.clashing(cases.table(spark, data))
+    got = P.mixing(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = Counter()
+    for r in rates(docs, labels).collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in got.collect()) == +want and len(+want) > 5
+    assert P.mixing(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
 def test_run_reads_every_document(spark):
     import corpus_pipeline as P
 

@@ -48,12 +48,14 @@ def posteriors(docs: DataFrame, model, p: str, tokens: str) -> DataFrame:
 
 def rate(p: Column, direction: Sequence[float]) -> Column:
     """A document's rate: 1 less a gradient step, the inner product of ``direction`` with its posteriors, projected on
-    the nonnegative rates."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get(p, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(direction)), F.lit(0.0)))
+    the nonnegative rates. The direction is one array, which Spark hands to compiled code, so that all passes share that code."""
+    terms = F.zip_with(p, F.array(*[F.lit(float(x)) for x in direction]), lambda a, b: a * b)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
 
 
-def fit_rates(rows: DataFrame, p: str, tokens: str, targets: Sequence[float] = TARGETS) -> np.ndarray:
-    """Gradient direction whose projected rates r bring ``sum r * tokens * p[k]`` to ``targets[k] * sum tokens``.
+def fit_rates(rows: DataFrame, p: str, tokens: str, targets: Sequence[float] = TARGETS) -> tuple[np.ndarray, bool]:
+    """The gradient direction whose projected rates r bring ``sum r * tokens * p[k]`` to ``targets[k] * sum tokens``, and
+    whether its gaps are within ``TOLERANCE`` after at most ``MOST_PASSES``.
 
     Least squares over r >= 0: the squared gaps to the targets, and with a weight (``RIDGE``, reached in steps of ten)
     that leaves the gaps under ``TOLERANCE`` where rates can meet the targets, the squared changes of rates by tokens.
@@ -79,18 +81,18 @@ def fit_rates(rows: DataFrame, p: str, tokens: str, targets: Sequence[float] = T
     at_now, passes = np.zeros(k), 1
     total, squares, have, gram = sums(at_now)
     if total <= 0:
-        return at_now
+        return at_now, True
     want, ridge = np.array(targets) / sum(targets) * total, 0.1
     while True:
         gradient = want - have + ridge * total * at_now
         if ridge == RIDGE and np.abs(gradient).max() <= TOLERANCE * total:
-            return at_now
+            return at_now, True
         step = -np.linalg.solve(gram + ridge * total * np.eye(k), gradient)
         dual = lambda squares, x: squares / 2 + want @ x + ridge * total / 2 * (x @ x)
         most, size = dual(squares, at_now) + 1e-12 * total, 1.0
         while True:
             if passes == MOST_PASSES:
-                return at_now
+                return at_now, False
             tried = at_now + size * step
             _, *got = sums(tried)
             passes += 1
@@ -101,28 +103,30 @@ def fit_rates(rows: DataFrame, p: str, tokens: str, targets: Sequence[float] = T
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> tuple[DataFrame, list[str]]:
-    """``docs`` with (names that are returned too) tokens, posteriors, rate and copies.
+    """``docs`` with (names that are returned too) tokens, posteriors, rate, copies and
+    converged: whether rates meet the targets.
 
     ``copies`` is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate. Null and empty
     texts have no tokens and the posteriors of a text without words. Equal texts have equal rates, and repeated rows
     of a doc_id equal copies. Rates are all 1 in a table without words. Other columns pass through.
     """
-    names = fresh(docs.columns, "n_tokens", "posteriors", "rate", "copies")
-    tokens, p, r, copies = names
+    names = fresh(docs.columns, "n_tokens", "posteriors", "rate", "copies", "converged")
+    tokens, p, r, copies, converged = names
     rows = materialize(posteriors(docs, domain_model(docs, labels), p, tokens), "posteriors")
-    rows = rows.withColumn(r, rate(F.col(p), fit_rates(rows, p, tokens, targets)))
+    direction, met = fit_rates(rows, p, tokens, targets)
+    rows = rows.withColumn(r, rate(F.col(p), direction)).withColumn(converged, F.lit(met))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) * F.lit(2.0**-53)
     return rows.withColumn(copies, F.floor(F.col(r) + unit).cast("int")), names
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> DataFrame:
     """The documents, each as often as its copies say."""
-    rows, (_, _, _, copies) = mixed(docs, labels, targets)
+    rows, (_, _, _, copies, _) = mixed(docs, labels, targets)
     rows = rows.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens, a posterior for each domain, rate and copies of every document."""
-    rows, (tokens, p, r, copies) = mixed(docs.select("doc_id", "text"), labels, targets)
-    return rows.select("doc_id", F.col(tokens).cast("long").alias("n_tokens"), *[F.get(p, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col(r).alias("rate"), F.col(copies).alias("copies"))
+    """doc_id, n_tokens, a posterior for each domain, rate, copies and converged of every document."""
+    rows, (tokens, p, r, copies, converged) = mixed(docs.select("doc_id", "text"), labels, targets)
+    return rows.select("doc_id", F.col(tokens).cast("long").alias("n_tokens"), *[F.get(p, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col(r).alias("rate"), F.col(copies).alias("copies"), F.col(converged).alias("converged"))
