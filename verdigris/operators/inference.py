@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import expected_max, normal_cdf
+from ..functions.normal import expected_max, normal_cdf, normal_quantile
 
 
 def deflated_sharpe(moments: DataFrame, trials: list[int]) -> DataFrame:
@@ -43,6 +43,17 @@ def sharpe_haircuts(moments: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.withColumn("holm_step", one(F.col("holm_step"))).withColumn("bhy_step", one(F.col("bhy_step")))
 
 
+def haircut_sharpes(haircuts: DataFrame) -> DataFrame:
+    """``sharpe_haircuts`` with the Sharpe ratio that each adjusted p value would need, of the observed sign (0 at p = 1 and
+    under two rows), and the share that is cut off, for Bonferroni's and for each rank's own Holm and BHY values."""
+    for name, p in (("bonferroni", "bonferroni"), ("holm", "holm_step"), ("bhy", "bhy_step")):
+        size = normal_quantile(1 - F.col(p) / 2) / F.sqrt("n")
+        left = F.when((F.col("n") < 2) | (F.col(p) >= 1), 0.0).when(F.col("sharpe") < 0, -size).otherwise(size)
+        cut = F.least(F.greatest(1 - F.try_divide(left, F.col("sharpe")), F.lit(0.0)), F.lit(1.0))
+        haircuts = haircuts.withColumn(f"{name}_sharpe", left).withColumn(f"{name}_cut", F.when(F.abs("sharpe") > 1e-9, cut).otherwise(0.0))
+    return haircuts
+
+
 def fold_combinations(spark: SparkSession, folds: int) -> DataFrame:
     """(split, fold, train): every choice of half of the ``folds`` for training."""
     rows = [(i, f, f in chosen) for i, chosen in enumerate(combinations(range(folds), folds // 2)) for f in range(folds)]
