@@ -91,3 +91,19 @@ def test_ledger_counts_reruns_once(spark, tmp_path):
     trials = read_trials(spark, path)
     assert {r.run_id for r in trials.collect()} == {"7", "a/b=c d"} and {r.timestamp for r in trials.collect()} == {"t1", None}
     assert [tuple(r) for r in trial_counts(trials).collect()] == [("f", 4, 10)]
+
+
+def test_equal_trials_are_one_line(spark, tmp_path):
+    from verdigris.sources.files import read_ledger, read_trials, record_trials, trial_counts
+
+    path = str(tmp_path / "ledger")
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("a"), F.lit(None).cast("string").alias("b"))
+    record_trials(rows, ["a", "b"], path, "r", F.lit("f"))
+    assert spark.read.text(path).count() == 2
+    assert {tuple(r)[1:] for r in read_ledger(spark, path).collect()} == {("f", None, 10_000, "r")}
+    assert [r["count"] for r in read_trials(spark, path).groupBy("hash").count().collect()] == [10_000] * 2
+    # lines of one trial each, without a number
+    (tmp_path / "ledger" / "run_id=old").mkdir()
+    (tmp_path / "ledger" / "run_id=old" / "x.json").write_text('{"hash":"h","label":"f"}\n' * 2)
+    for trials in (read_ledger(spark, path), read_trials(spark, path)):
+        assert [tuple(r) for r in trial_counts(trials).collect()] == [("f", 3, 20_002)]

@@ -25,4 +25,4 @@ def trial_ledger(spark, sf_dir):
     # the second run of "a" is a rerun: it counts once
     for run in ("a", "b/c", "a"):
         files.record_trials(rows, ["l_suppkey", "l_linestatus"], path, run, F.col("l_returnflag"))
-    return rounded(files.trial_counts(files.read_trials(spark, path)))
+    return rounded(files.trial_counts(files.read_ledger(spark, path)))

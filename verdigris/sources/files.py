@@ -106,24 +106,41 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.filter(F.when(F.col("error").isNotNull(), F.raise_error(where).cast("boolean")).otherwise(True)).drop("error")
 
 
-LEDGER = "hash string, label string, timestamp string, run_id string"
+LEDGER = "hash string, label string, timestamp string, trials long, run_id string"
+#: Equal trials of one line that are listed at a time.
+LISTED = 4096
 
 
 def record_trials(rows: DataFrame, config: list[str], path: str, run_id: str, label: Column | None = None, timestamp: Column | None = None) -> None:
-    """Append a trial for each row, repeated ones too: the hash of its ``config`` (column names in order, nulls told apart
-    from empty strings), label, time and run. A run writes its own part as a whole, so that a rerun changes nothing twice
-    and other runs' trials stay."""
+    """Append the trials of all rows, repeated ones too: the hash of their ``config`` (column names in order, nulls told
+    apart from empty strings), label, time and run. Equal trials of a run are one line with their number, counted
+    before they are shuffled. A run writes its own part as a whole, so that a rerun changes nothing twice and other runs'
+    trials stay."""
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(config)]), {"ignoreNullFields": "false"})
     nothing = F.lit(None).cast("string")
-    out = rows.select(F.sha2(text, 256).alias("hash"), (nothing if label is None else label.cast("string")).alias("label"), (nothing if timestamp is None else timestamp.cast("string")).alias("timestamp"))
+    # half as long as its digits, and of one size whatever the configuration's
+    each = rows.select(F.unhex(F.sha2(text, 256)).alias("hash"), (nothing if label is None else label.cast("string")).alias("label"), (nothing if timestamp is None else timestamp.cast("string")).alias("timestamp"))
+    out = each.groupBy("hash", "label", "timestamp").agg(F.count(F.lit(1)).alias("trials")).withColumn("hash", F.lower(F.hex("hash")))
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/run_id={quote(run_id, safe='')}")
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a ledger; one without a number of trials is one trial."""
+    return spark.read.schema(LEDGER).json(path).withColumn("trials", F.coalesce("trials", F.lit(1)).cast("long"))
+
+
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER).json(path)
+    """(hash, label, timestamp, run_id), a row for each trial."""
+    lines = read_ledger(spark, path)
+    names = [c for c in lines.columns if c != "trials"]
+    parts = lines.select(*names, "trials", F.explode(F.sequence(F.lit(1).cast("long"), F.col("trials"), F.lit(LISTED).cast("long"))).alias("at"))
+    size = F.least(F.lit(LISTED), F.col("trials") - F.col("at") + 1).cast("int")
+    return parts.select(*names, F.explode(F.array_repeat(F.lit(0), size))).drop("col")
 
 
 def trial_counts(trials: DataFrame, by: str = "label") -> DataFrame:
-    """By label: distinct configurations and recorded trials. Counted in two steps, so one label is not one task."""
-    each = trials.groupBy(by, "hash").agg(F.count(F.lit(1)).alias("runs"))
+    """By label: distinct configurations and recorded trials, of single trials or of ledger lines. Counted in two steps,
+    so one label is not one task."""
+    runs = F.sum("trials") if "trials" in trials.columns else F.count(F.lit(1))
+    each = trials.groupBy(by, "hash").agg(runs.alias("runs"))
     return each.groupBy(by).agg(F.count(F.lit(1)).alias("trials"), F.sum("runs").alias("runs"))
