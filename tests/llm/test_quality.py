@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from . import cases
 
@@ -115,3 +116,14 @@ def test_tiny_groups(spark, n):
     from verdigris.llm.quality import quality
 
     assert [r.kept for r in quality(cases.table(spark, [(i, cases.prose(i, 50), "en", "s", 1) for i in range(n)])).collect()] == [True] * n
+
+
+def test_a_step_joins_twice(spark, monkeypatch):
+    """Every join of a step is a broadcast and a plan in the driver's memory."""
+    from verdigris.llm import quality
+
+    plans, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or write(df, name))
+    rows = spark.range(400).select(F.lit("de").alias("lang"), F.lit("s").alias("source"), *[F.randn(i).alias(c) for i, c in enumerate(quality.STATISTICS)])
+    quality.least_determinants(rows.localCheckpoint(), ["lang", "source"], [1e-9] * 3)
+    assert len(plans) > 2 and all(p.count("Join Inner") == 2 for p in plans[1:])

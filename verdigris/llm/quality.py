@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
@@ -114,11 +115,11 @@ def distance() -> Column:
     return sum((v * v for v in y), F.lit(0.0))
 
 
-def moments(rows: DataFrame, group: list[str], scale: float, floor: list[float]) -> DataFrame:
-    """Location, scatter (times ``scale``, with ``floor`` on its diagonal), its factor and ``n`` of each group's rows; sums are
-    made map-side first, so a group with a third of all rows is no burden."""
+def moments(rows: DataFrame, group: list[str], scale: float, floor: list[float], others: Sequence[Column] = ()) -> DataFrame:
+    """Location, scatter (times ``scale``, with ``floor`` on its diagonal), its factor, ``n`` and the aggregates ``others`` of
+    each group's rows; sums are made map-side first, so a group with a third of all rows is no burden."""
     products = [F.avg(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"c_{i}_{j}") for i, j in pairs()]
-    out = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATISTICS], *products)
+    out = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATISTICS], *products, *others)
     central = {f"c_{i}_{j}": (F.col(f"c_{i}_{j}") - F.col(f"m_{STATISTICS[i]}") * F.col(f"m_{STATISTICS[j]}")) * scale + (floor[i] if i == j else 0.0) for i, j in pairs()}
     return with_factor(out.withColumns(central))
 
@@ -135,22 +136,27 @@ def least_determinants(rows: DataFrame, group: list[str], floor: list[float], su
     rows = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     first, scale = rows.filter("start = 0"), core(len(STATISTICS), subset)[1]
     centre = first.groupBy(*tried).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in STATISTICS])
-    spread = same_group(first, centre, tried).groupBy(*tried).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in STATISTICS])
+    spread = same_group(first, centre, tried).groupBy(*tried).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in STATISTICS])
     scatter = {f"c_{i}_{j}": F.pow(F.col(f"d_{STATISTICS[i]}") * 1.4826, 2) + floor[i] if i == j else F.lit(0.0) for i, j in pairs()}
-    medians = with_factor(same_group(centre, spread, tried).withColumns(scatter))
+    medians = with_factor(spread.withColumns(scatter))
     means = moments(rows.filter("start = 1"), tried, 1.0, floor)
-    names = [*tried, "n", *PLACE, *SCATTER, *[f"l_{i}_{j}" for i in range(len(STATISTICS)) for j in range(i + 1)], "det"]
+    kept = ["n", *PLACE, *SCATTER, *[f"l_{i}_{j}" for i in range(len(STATISTICS)) for j in range(i + 1)], "det"]
+    names = [*tried, *kept]
     # a start's own determinant is that of no subset, so the first step is always taken
     now = materialize(medians.select(*names).union(means.select(*names)).withColumn("det", F.lit(float("inf"))), "estimates")
+    # groups carry their estimate through both aggregates: every further join would be a broadcast and a plan of the driver
+    was = {c: f"was_{c}" for c in kept}
+    carried = [F.first(c).alias(c) for c in was.values()]
     while True:
-        placed = same_group(rows, now.drop("n", "det"), tried).withColumn("dist", distance()).select(*tried, *STATISTICS, "dist")
-        cut = placed.groupBy(*tried).agg(F.percentile_approx("dist", subset, 10_000).alias("cut"))
-        found = moments(same_group(placed, cut, tried).filter("dist <= cut"), tried, scale, floor).withColumnRenamed("det", "next_det")
-        step = same_group(found, now.select(*tried, "det"), tried).withColumn("moved", F.col("next_det") < F.col("det") - 1e-9)
-        old = same_group(now, step.select(*tried, "moved"), tried)
-        new = materialize(step.filter("moved").withColumn("det", F.col("next_det")).select(*names, "moved").union(old.filter("not moved").select(*names, "moved")), "estimates")
-        now = new.drop("moved")
-        if not new.filter("moved").head(1):
+        old = now.withColumnsRenamed(was).withColumns({c: F.col(was[c]) for c in kept if c not in ("n", "det")})
+        cut = same_group(rows, old, tried).groupBy(*tried).agg(F.percentile_approx(distance(), subset, 10_000).alias("cut"), *carried)
+        cut = cut.withColumns({c: F.col(was[c]) for c in kept if c not in ("n", "det")})
+        near = same_group(rows, cut, tried).filter(distance() <= F.col("cut")).select(*tried, *STATISTICS, *was.values())
+        found = moments(near, tried, scale, floor, carried).withColumn("moved", F.col("det") < F.col("was_det") - 1e-9)
+        seen = Observation()
+        step = found.select(*tried, *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(was[c])).alias(c) for c in kept], "moved")
+        now = materialize(step.observe(seen, F.count_if("moved").alias("moved")).drop("moved"), "estimates")
+        if not seen.get["moved"]:
             break
     best = now.groupBy(*group).agg(F.min(F.struct("det", "start", *[c for c in names if c not in (*tried, "det")])).alias("best"))
     return best.select(*group, *[f"best.{c}" for c in names if c not in tried])
