@@ -114,3 +114,16 @@ def test_projected_steps_reach_the_constrained_optimum(spark):
         want = np.maximum(0, want - p @ (gram @ ((want * t) @ p - goal * t.sum())))
     best = (want * t) @ p - goal * t.sum()
     assert gap @ gram @ gap <= best @ gram @ best + 1e-3 * t.sum() and (got >= 0).all() and (got == 0).any()
+
+
+def test_a_character_is_coded_once(monkeypatch):
+    import numpy as np
+    from verdigris.llm import toxicity
+
+    calls, code = [], toxicity.letter_codes
+    monkeypatch.setattr(toxicity, "letter_codes", lambda text: calls.append(text) or code(text))
+    model, known, plain = np.zeros((toxicity.LETTERS,) * 3, np.float32), {}, set()
+    texts = ["z3ro w0rd plain", "w0rd, plain z3ro 0", "z 3 r o (w0rd) a b 1.", "A I a", ""]
+    first = toxicity.restore(texts, model, known, plain)
+    assert plain >= {"plain"} and "z3ro" in known and toxicity.restore(texts, model, known, plain) == first == [x for t in texts for x in toxicity.restore([t], model, {})]
+    assert len(calls) == len(set(calls))
