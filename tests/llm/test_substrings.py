@@ -103,3 +103,12 @@ def test_matching_statistics_and_runs_equal_brute_force():
         sizes = np.array([len(p) for _, p in patterns])
         got = index.matching_statistics(np.frombuffer(b"".join(p for _, p in patterns), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([g for g, _ in patterns]))
         assert got.tolist() == [longest(p, i, [t for k, t in texts if k == g]) for g, p in patterns for i in range(len(p))]
+
+
+def test_a_task_has_one_python_worker(spark):
+    """Functions of columns would be evaluated by workers of their own, beside those of the batches."""
+    from verdigris.llm import substrings
+
+    got = substrings.without_repeats(cases.table(spark, cases.rows(24)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan

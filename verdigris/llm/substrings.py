@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, materialize, parallelism, two_hashes
+from .common import bit_filter, mark_maybe, materialize, parallelism, two_hashes
 from .runindex import PLACE_BITS, SEPARATOR, RunIndex, ranges
+from .tokens import pieces
 
 #: Bytes of a match, and of the strings (seeds) whose hash deals windows of that size into buckets.
 MATCH, SEED = 50, 24
@@ -83,9 +83,10 @@ def seeds(docs: DataFrame) -> DataFrame:
     """(bucket): the seed of every segment of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cut in cuts(batch.column(0).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(cut.seed)], names=["bucket"])
+        for whole in batches:
+            for batch in pieces(whole, 0):
+                for cut in cuts(batch.column(0).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(cut.seed)], names=["bucket"])
 
     return docs.select("raw").mapInArrow(run, "bucket long")
 
@@ -101,7 +102,7 @@ def segments(docs: DataFrame, words, heavy_words, heavy: bool) -> DataFrame:
     may be (``heavy``) or are not (else) in ``heavy_words``; each has all bytes of its windows, so segments overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 2)):
             name, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for cut in cuts(batch.column(2).to_pylist()):
                 use = np.flatnonzero(has(words.value, cut.seed) & (has(heavy_words.value, cut.seed) == heavy))
@@ -322,17 +323,16 @@ def without_repeats(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.coalesce(t, F.lit(0)).alias("t"), F.coalesce(u, F.lit(0)).alias("u"))
     copies = rows.groupBy("t", "u").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(F.col("t").alias("_t"), F.col("u").alias("_u"), "first")
     copies = materialize(copies, "copies")
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(bit_filter(copies, "_t"))
-    rows = rows.withColumn("maybe", in_filter(words)("t"))
+    # filters are joins and not Python functions: those would be a second Python worker beside every task's
+    rows = mark_maybe(rows, F.col("t"), copies, "_t", "maybe")
     joined = rows.filter("maybe").join(copies, (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u")), "left").withColumn("copy", F.coalesce(F.col("name") > F.col("first"), F.lit(False)))
     names = ["doc_id", "name", "t", "raw", "copy"]
     every = joined.select(*names).union(rows.filter("not maybe").select("doc_id", "name", "t", "raw", F.lit(False)))
     reps = every.filter("not copy").select(F.col("name").alias("doc_id"), "t", "raw")
     spans = repeat_spans(reps, batch_bytes).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("_of"), F.col("t").alias("_t"), "spans"), "spans")
-    held = spark.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("_of", "_t").alias("x")), "x"))
-    every = every.withColumn("maybe", ~F.col("copy") & in_filter(held)(F.xxhash64("name", "t")))
+    held = spans.select(F.xxhash64("_of", "_t").alias("x"))
+    every = mark_maybe(every, F.xxhash64("name", "t"), held, "x", "maybe").withColumn("maybe", ~F.col("copy") & F.col("maybe"))
     with_spans = every.filter("maybe").join(spans, (F.col("name") == F.col("_of")) & (F.col("t") == F.col("_t")), "left")
     none = F.lit(None).cast(spans.schema["spans"].dataType)
     # a copy goes whole, if it has a window at all
@@ -340,7 +340,7 @@ def without_repeats(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     out = with_spans.select("doc_id", "raw", "spans").union(every.filter("not maybe").select("doc_id", "raw", F.coalesce(whole, none)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             out: list[list] = [[] for _ in range(4)]
             for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 kept, end, n = [], 0, 0
@@ -356,12 +356,3 @@ def without_repeats(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return out.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def in_filter(words):
-    """A function of a hash column: whether the broadcast filter may hold it."""
-    @F.pandas_udf("boolean")
-    def held(x: pd.Series) -> pd.Series:
-        return pd.Series(has(words.value, x.to_numpy(np.int64)))
-
-    return held
