@@ -121,3 +121,26 @@ def test_one_row_a_line_however_many_are_near(spark):
     rows = linededup.line_rows(docs)
     classes = rows.groupBy("h", "g").agg(F.min("place").alias("first"))
     assert linededup.near_later(classes, rows.select("h", "g", "bytes")).count() == 99
+
+
+def test_near_lines_share_a_compiled_key(spark):
+    import random
+
+    from verdigris.llm import linededup
+
+    rng, data = random.Random(4), []
+    for i in range(300):
+        line = "".join(rng.choice("abcdef") for _ in range(rng.randint(12, 60)))
+        other = list(line)
+        for _ in range(2 if len(line) >= 26 else 1):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 1)] = rng.choice(["", "x"])
+        other = "".join(other)
+        if min(len(line), len(other)) >= (24 if len(line) >= 26 else 12):
+            data += [(i, 0, line.encode()), (i, 1, other.encode())]
+    got = linededup.keyed(spark.createDataFrame(data, "i int, side int, bytes binary"), ["i", "side"])
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    seen = {}
+    for r in got.collect():
+        seen.setdefault((r.i, r.side), set()).add(r.key)
+    assert len(data) > 500 and all(seen[i, 0] & seen[i, 1] for i, side, _ in data if not side)

@@ -34,30 +34,27 @@ def cuts(edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def keys(line: Column, edits: Sequence[tuple[int, int]] = EDITS) -> Column:
-    """Hashes of all substrings that the binary ``line`` looks up under the bounds that may hold for it and a partner:
-    under its own bound, and under the next one too while a shorter partner may be.
+def keyed(rows: DataFrame, names: Sequence[str], edits: Sequence[tuple[int, int]] = EDITS) -> DataFrame:
+    """``names`` and ``key``, hashes of all substrings that the binary ``bytes`` of a row looks up under the bounds that may
+    hold for it and a partner: under its own bound, and under the next one too while a shorter partner may be.
 
-    One lambda over a small table: written out they make a method too long for the virtual machine to compile.
+    A row for each line of a small table, then one short expression: that is compiled. Written out for all lines of the
+    table it makes a method too long for the virtual machine to compile, and a lambda is interpreted.
     """
     tables = [cuts(most) for _, most in edits]
-    names = ("edits", "i", "less", "shift")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for t in tables for row in t])
-    sizes = [len(t) for t in tables]
+    fields = ("edits", "i", "less", "shift")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, row)]) for t in tables for row in t])
+    sizes, size = [len(t) for t in tables], F.length("bytes")
     start, count = F.lit(sum(sizes) + 1), F.lit(0)
     for k in range(len(edits) - 1, -1, -1):
-        at_least = F.length(line) >= edits[k][0]
-        both = at_least & (F.length(line) < edits[k][0] + edits[k + 1][1]) if k + 1 < len(edits) else F.lit(False)
+        at_least = size >= edits[k][0]
+        both = at_least & (size < edits[k][0] + edits[k + 1][1]) if k + 1 < len(edits) else F.lit(False)
         start = F.when(at_least, F.lit(sum(sizes[:k]) + 1)).otherwise(start)
         count = F.when(both, F.lit(sum(sizes[k : k + 2]))).when(at_least, F.lit(sizes[k])).otherwise(count)
-
-    def key(s: Column, p: Column) -> Column:
-        m, parts = s["n"] - p["less"], p["edits"] + 1
-        at = lambda i: (m * i / parts).cast("int")
-        return F.xxhash64(p["edits"], p["i"], m, F.substring(s["line"], at(p["i"]) + 1 + p["shift"], at(p["i"] + 1) - at(p["i"])))
-
-    bound_once = F.array(F.struct(line.alias("line"), F.length(line).alias("n"), F.slice(table, start, count).alias("table")))
-    return F.get(F.transform(bound_once, lambda s: F.transform(s["table"], lambda p: key(s, p))), F.lit(0))
+    m, parts, i = F.expr("length(bytes) - p.less"), F.col("p.edits") + 1, F.col("p.i")
+    at = lambda i: (m * i / parts).cast("int")
+    key = F.xxhash64("p.edits", "p.i", m, F.substring("bytes", at(i) + 1 + F.col("p.shift"), at(i + 1) - at(i)))
+    return rows.select(*names, "bytes", F.explode(F.slice(table, start, count)).alias("p")).select(*names, key.alias("key"))
 
 
 def bound(size: Column, edits: Sequence[tuple[int, int]] = EDITS) -> Column:
@@ -169,11 +166,9 @@ def near_later(classes: DataFrame, rows: DataFrame, edits: Sequence[tuple[int, i
     """
     least = min(n for n, _ in edits)
     long = rows.filter(F.length("bytes") >= least)
-    # the keys are a projection of their own, which computes what they share once; a generator would not
-    keyed = long.withColumn("keys", keys(F.col("bytes"), edits))
-    slim = keyed.select("h", F.explode("keys").alias("key"))
+    slim = keyed(long, ["h"], edits)
     shared = materialize(slim.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key"), "shared")
-    listed = maybe_in(keyed.select("h", "g", F.explode("keys").alias("key")), F.col("key"), shared, "key")
+    listed = maybe_in(keyed(long, ["h", "g"], edits), F.col("key"), shared, "key")
     found = listed.join(shared, "key").distinct()
     found = materialize(found, "members")
     members = found.select("h", "g").distinct()
