@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -28,6 +29,25 @@ def test_units_give_the_ids_of_the_whole_text(name, spaced, room):
             assert np.frombuffer(ids, "<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 7], repr(text)
 
 
+def test_encoding_is_not_held_up_by_the_search_for_cycles():
+    """Every new unit once made a tuple, and the collector went through all of them each time; units without
+    punctuation at their end were kept twice."""
+    from verdigris.llm.tokens import WordEncoder
+
+    own, runs = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), True), []
+    text = "".join(f" q{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(10_000))
+    seen = lambda phase, info: runs.append(phase)
+    before = gc.get_threshold()
+    gc.collect()
+    gc.callbacks.append(seen)
+    try:
+        own.encode([text], 1)
+    finally:
+        gc.callbacks.remove(seen)
+    assert runs == [] and gc.isenabled() and gc.get_threshold() == before
+    assert len(own.kept) == 10_001
+
+
 def test_id_files_round_trip(spark):
     from verdigris.llm.binary import id_digests, read_ids, write_ids
 

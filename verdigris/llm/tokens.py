@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +21,35 @@ ENDS = ".,!?;:#$%&*|)"
 BYTES = 2  # of an id as it is stored; both vocabularies have under 65,536 ids
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Python's search for cycles stands still: units, ids and rows form none, and it would go through all that are
+    held again and again."""
+    held = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if held:
+            gc.enable()
+
+
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Neither tokenizer merges across a change from other characters to white space (one leading space belongs to the
-    word), so a text's ids are those of its units in turn. Units repeat, so the ids of up to ``room`` units and twice
-    as many unit cores are kept; the rest are encoded with their batch. ``room`` bounds memory and changes no result.
+    word), so a text's ids are those of its units in turn. Units repeat, so the ids of about ``room`` units and unit
+    cores are kept; the rest are encoded with their batch. ``room`` bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 400_000):
+    def __init__(self, path: str, spaced: bool, room: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.units = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
         self.spaced, self.room = spaced, room
-        self.kept: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = {"": b""}
         # the byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for U+0100 and on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
@@ -48,10 +61,11 @@ class WordEncoder:
         # white space is dropped: plain spaces and line feeds part units, and units hold any other white space
         return text.replace("\n", " ").split(" ")
 
-    def core_ids(self, cores: list[str]) -> Iterator[tuple[str, bytes]]:
+    def core_ids(self, cores: Iterable[str]) -> dict[str, bytes]:
         """Latin-1 letters, after a space or not, are one word in both patterns and need no normal form but lower
         case, so the merges alone are asked for; other cores take the whole tokenizer."""
-        model, slow = self.tokenizer.model, []
+        tokenize = self.tokenizer.model.tokenize
+        fast, slow, ids, ends = [], [], [], [0]
         for w in cores:
             word = w[1:] if self.spaced and w[0] == " " else w
             if word.isascii() and word.isalpha():
@@ -61,39 +75,51 @@ class WordEncoder:
             else:
                 slow.append(w)
                 continue
-            yield w, array("H", [t.id for t in model.tokenize(piece)]).tobytes()
+            fast.append(w)
+            ids += [t.id for t in tokenize(piece)]
+            ends.append(BYTES * len(ids))
+        raw = np.array(ids, "<u2").tobytes()
+        out = {w: raw[a:b] for w, a, b in zip(fast, ends, ends[1:])}
         for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)):
-            yield w, array("H", e.ids).tobytes()
+            out[w] = array("H", e.ids).tobytes()
+        return out
 
     def missing(self, words: set[str]) -> dict[str, bytes]:
         """Ids of new units. Punctuation after a letter is apart from it in both patterns, so a unit's end is looked up
         apart from its core."""
-        parts, lower = {}, not self.spaced
+        kept, lower, wanted, tailed = self.kept, not self.spaced, set(), []
         for w in words:
-            core = w.rstrip(ENDS)
-            if not core or not core[-1].isalpha():
-                core = w
+            core, tail = w, ""
+            if w[-1] in ENDS:
+                bare = w.rstrip(ENDS)
+                if bare and bare[-1].isalpha():
+                    core, tail = bare, w[len(bare) :]
             # other letters' lower case is the tokenizer's to find, but for Latin-1 both agree
-            key = core.lower() if lower and (core.isascii() or core.isalpha() and max(core) <= "\u00ff") else core
-            parts[w] = key, w[len(core) :]
-        cores = self.cores
-        got = dict(self.core_ids([x for x in set(chain.from_iterable(parts.values())) if x not in cores]))
-        out = {w: (got[a] if a in got else cores[a]) + (got[b] if b in got else cores[b]) for w, (a, b) in parts.items()}
-        if len(self.kept) < self.room:
-            self.kept.update(out)
-        if len(cores) < 2 * self.room:
-            cores.update(got)
+            if lower and (core.isascii() or core.isalpha() and max(core) <= "\u00ff"):
+                core = core.lower()
+            wanted.add(core)
+            if core != w:
+                wanted.add(tail)
+                tailed.append((w, core, tail))
+        out = {x: kept[x] for x in wanted if x in kept}
+        new = self.core_ids(wanted.difference(out))
+        out.update(new)
+        new.update((w, out[a] + out[b]) for w, a, b in tailed)
+        if len(kept) < self.room:
+            kept.update(new)
+        out.update(new)
         return out
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and ``end``, as little-endian unsigned 16-bit integers."""
         stop = np.array([end], "<u2").tobytes()
-        split = [self.split(t) if t else [] for t in texts]
-        # the few ids that this batch needs lie closer together in memory than all that are kept
-        words, kept = set().union(*split), self.kept
-        ids = {w: kept[w] for w in words if w in kept}
-        ids.update(self.missing(words.difference(ids)))
-        return [b"".join(map(ids.__getitem__, x)) + stop for x in split]
+        with uncollected():
+            split = [self.split(t) if t else [] for t in texts]
+            # the few ids that this batch needs lie closer together in memory than all that are kept
+            words, kept = set().union(*split), self.kept
+            ids = {w: kept[w] for w in words if w in kept}
+            ids.update(self.missing(words.difference(ids)))
+            return [b"".join(map(ids.__getitem__, x)) + stop for x in split]
 
 
 @lru_cache(maxsize=2)
