@@ -112,3 +112,28 @@ def test_a_task_has_one_python_worker(spark):
     got = substrings.without_repeats(cases.table(spark, cases.rows(24)))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_buckets_are_read_as_columns():
+    """Whole buckets, at least ``size`` bytes but for the last; they came as lists of Python values, row by row."""
+    import numpy as np
+    import pyarrow as pa
+    from verdigris.llm.substrings import whole_buckets
+
+    rng = np.random.default_rng(5)
+    bucket = np.sort(rng.integers(0, 40, 300))
+    strings = [bytes(rng.integers(0, 255, rng.integers(1, 9)).astype(np.uint8)) for _ in bucket]
+    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(strings, pa.binary())], names=["bucket", "s"])
+    for size in (0, 1, 30, 10_000):
+        want, held = [], []
+        for b, s in zip(bucket.tolist(), strings):
+            if held and sum(len(x) for _, x in held) >= size and b != held[-1][0]:
+                want.append(held)
+                held = []
+            held.append((b, s))
+        want.append(held)
+        for step in (1, 7, 300):
+            got = list(whole_buckets(iter([whole.slice(0, 0), *[whole.slice(i, step) for i in range(0, 300, step)]]), size))
+            assert all(isinstance(x, pa.Table) for x in got)
+            assert [[*zip(x["bucket"].to_pylist(), x["s"].to_pylist())] for x in got] == want
+    assert list(whole_buckets(iter([]), 10)) == []

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,22 +158,42 @@ def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buc
     return hit
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[list[list]]:
-    """The columns of the rows (bucket first, segment last; in the order of buckets), ``batch_bytes`` of segments at a
-    time and one bucket more at most: an index takes twice ``BATCH``."""
-    held: list[list] | None = None
-    size = 0
+def whole_buckets(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.Table]:
+    """The rows (bucket first, segment last; in the order of buckets), ``batch_bytes`` of segments at a time and one
+    bucket more at most: an index takes twice ``BATCH``."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if held is None or size >= batch_bytes and row[0] != held[0][-1]:
-                if held is not None:
-                    yield held
-                held, size = [[] for _ in row], 0
-            for column, value in zip(held, row):
-                column.append(value)
-            size += len(row[-1])
-    if held is not None:
-        yield held
+        if not batch.num_rows:
+            continue
+        bucket = batch.column(0).to_numpy()
+        new = np.flatnonzero(np.concatenate(([last is not None and bucket[0] != last], bucket[1:] != bucket[:-1])))
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy().astype(np.int64))
+        at, base = 0, 0
+        while True:
+            # the first bucket that starts once enough is held
+            full = at if size >= batch_bytes else int(np.searchsorted(ends, base + batch_bytes - size)) + 1
+            k = int(np.searchsorted(new, max(full, at if held else at + 1)))
+            if k == len(new):
+                break
+            cut = int(new[k])
+            yield pa.Table.from_batches([*held, batch.slice(at, cut - at)]).combine_chunks()
+            held, size, at, base = [], 0, cut, int(ends[cut - 1]) if cut else 0
+        held.append(batch.slice(at))
+        size, last = size + int(ends[-1]) - base, bucket[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def longs(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy().astype(np.int64) for c in names]
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of ``strings`` one after the other, where each starts and how many it has."""
+    _, offsets, flat = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return np.frombuffer(flat, np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0], np.diff(ends)
 
 
 def stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,23 +228,20 @@ def light_spans(cut: DataFrame, batch_bytes: int) -> DataFrame:
     so few segments that each task holds whole ones. Equal segments of a bucket are indexed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_buckets(batches, batch_bytes):
-            bucket, name, t, at = (np.array(c, np.int64) for c in columns[:4])
-            parts = columns[4]
-            order = np.lexsort((name, bucket)).tolist()
-            seen: dict[tuple[int, bytes], int] = {}
-            same, heads = np.empty(len(parts), np.int64), []
-            for i in order:
-                k = seen.setdefault((columns[0][i], parts[i]), len(heads))
-                if k == len(heads):
-                    heads.append(i)
-                same[i] = k
-            sizes = np.array([len(parts[i]) for i in heads])
-            starts = np.cumsum(sizes) - sizes
-            hit = earlier_matches(np.frombuffer(b"".join([parts[i] for i in heads]), np.uint8), starts, sizes, bucket[heads], name[heads])
+        for rows in whole_buckets(batches, batch_bytes):
+            bucket, name, t, at = longs(rows, "bucket", "doc_id", "t", "at")
+            order = np.lexsort((name, bucket))
+            # codes count up by first places; equal segments have equal seeds, so they are of one bucket
+            coded = rows.column("s").combine_chunks().take(pa.array(order)).dictionary_encode()
+            code = coded.indices.to_numpy().astype(np.int64)
+            heads = order[np.unique(code, return_index=True)[1]]
+            same = np.empty(len(order), np.int64)
+            same[order] = code
+            flat, starts, sizes = bytes_of(coded.dictionary)
+            hit = earlier_matches(flat, starts, sizes, bucket[heads], name[heads])
             windows = sizes[same] - MATCH + 1
             own = hit[ranges(starts[same], windows)]
-            own |= np.repeat(name > name[np.array(heads)][same], windows)
+            own |= np.repeat(name > name[heads][same], windows)
             yield span_batch(name, t, at, windows, own)
 
     return bucket_order(cut).select("bucket", "doc_id", "t", "at", "s").mapInArrow(run, SPANS)
@@ -234,13 +252,11 @@ def first_matches(distinct: DataFrame, batch_bytes: int) -> DataFrame:
     which a smaller doc_id than ``first`` holds windows: these are the bits of ``mask``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_buckets(batches, batch_bytes):
-            bucket, sh, first, last = (np.array(c, np.int64) for c in columns[:4])
-            parts = columns[4]
+        for rows in whole_buckets(batches, batch_bytes):
+            bucket, sh, first, last = longs(rows, "bucket", "sh", "first", "last")
             order = np.lexsort((first, bucket))
-            sizes = np.array([len(parts[i]) for i in order])
-            starts = np.cumsum(sizes) - sizes
-            hit = earlier_matches(np.frombuffer(b"".join([parts[i] for i in order]), np.uint8), starts, sizes, bucket[order], first[order])
+            flat, starts, sizes = bytes_of(rows.column("s").combine_chunks().take(pa.array(order)))
+            hit = earlier_matches(flat, starts, sizes, bucket[order], first[order])
             any_hit = np.logical_or.reduceat(hit, starts)
             use = np.flatnonzero(any_hit | (first[order] < last[order]))
             masks = [np.packbits(hit[a : a + n - MATCH + 1]).tobytes() if x else None for a, n, x in zip(starts[use].tolist(), sizes[use].tolist(), any_hit[use].tolist())]
