@@ -94,6 +94,20 @@ def test_rates_meet_the_targets(spark):
     assert len({r.rate for r in rates(cases.table(spark, data[:4]), labels.limit(0)).collect()}) == 1
 
 
+def test_rates_write_no_texts_and_hash_labelled_ones_once(spark, monkeypatch):
+    from verdigris.llm import mixing
+
+    written, keep = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name, **options: written.setdefault(name, keep(df, name, **options)))
+    docs = spark.createDataFrame([(i, f"plain words of {i}", i) for i in range(40)], "doc_id long, text string, other int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert mixing.rates(docs, labels).count() == 40
+    assert written["labelled"].columns == ["features", "domain"] and written["labelled"].count() == 40
+    assert written["posteriors"].columns == ["doc_id", "n_tokens", "posteriors"]
+    written.clear()
+    assert mixing.mix(docs, labels).columns == docs.columns and set(docs.columns) < set(written["posteriors"].columns)
+
+
 def test_projected_steps_reach_the_constrained_optimum(spark):
     """Targets that force rates to zero, against a dense solver's projected gradient run to the end."""
     from pyspark.sql import functions as F

@@ -25,25 +25,29 @@ def domain_model(docs: DataFrame, labels: DataFrame):
     """Multinomial logistic regression on hashed words, from at most ``MOST_LABELS`` labelled rows; None without any."""
     rows = labelled_sample(docs, labels.select("doc_id", "quality", "toxic"))
     rows = word_features(rows, "text", FEATURES).select("features", (2 * F.col("toxic") + F.col("quality")).cast("double").alias("domain"))
+    # the fit goes through the rows more than once; their texts are found and hashed once
+    rows = materialize(rows, "labelled")
     if rows.select("domain").distinct().count() < 2:
         return None
     return LogisticRegression(labelCol="domain", family="multinomial", maxIter=40, regParam=1e-3, standardization=False).fit(rows)
 
 
-def posteriors(docs: DataFrame, model, p: str, tokens: str) -> DataFrame:
-    """``docs`` with ``tokens`` (words of the text) and ``p``, the array of domain posteriors; even without a model."""
+def posteriors(docs: DataFrame, model, p: str, tokens: str, unread: Sequence[str] = ()) -> DataFrame:
+    """``docs``, but for the columns ``unread``, with ``tokens`` (words of the text) and ``p``, the array of domain
+    posteriors; even without a model."""
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("double")
     rows = docs.withColumn(tokens, words)
     k = len(DOMAINS)
     if model is None:
-        return rows.withColumn(p, F.array(*[F.lit(1.0 / k)] * k))
+        return rows.withColumn(p, F.array(*[F.lit(1.0 / k)] * k)).drop(*unread)
     (name,) = fresh(["text", "words", "features", "rawPrediction", "probability", "prediction"], "own")
     # the model's columns come and go beside a struct of the document's own, so their names can't clash
-    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(name), F.col("text"))
+    kept = [c for c in rows.columns if c not in unread]
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(name), F.col("text"))
     got = model.transform(word_features(own, "text", FEATURES)).select(name, vector_to_array("probability").alias("got"))
     # labels that the training rows lack have no column
     full = F.concat("got", F.array_repeat(F.lit(0.0), k - model.numClasses)) if model.numClasses < k else F.col("got")
-    return got.select(*[F.col(f"{name}.`{c}`").alias(c) for c in rows.columns], full.alias(p))
+    return got.select(*[F.col(f"{name}.`{c}`").alias(c) for c in kept], full.alias(p))
 
 
 def rate(p: Column, direction: Sequence[float]) -> Column:
@@ -102,9 +106,9 @@ def fit_rates(rows: DataFrame, p: str, tokens: str, targets: Sequence[float] = T
         at_now, (squares, have, gram), ridge = tried, got, max(ridge / 10, RIDGE)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> tuple[DataFrame, list[str]]:
+def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, unread: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """``docs`` with (names that are returned too) tokens, posteriors, rate, copies and
-    converged: whether rates meet the targets.
+    converged: whether rates meet the targets. Columns ``unread`` are not needed further on, so they are not written.
 
     ``copies`` is the rate rounded up or down by a hash of doc_id, so that its expectation is the rate. Null and empty
     texts have no tokens and the posteriors of a text without words. Equal texts have equal rates, and repeated rows
@@ -112,7 +116,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS
     """
     names = fresh(docs.columns, "n_tokens", "posteriors", "rate", "copies", "converged")
     tokens, p, r, copies, converged = names
-    rows = materialize(posteriors(docs, domain_model(docs, labels), p, tokens), "posteriors")
+    rows = materialize(posteriors(docs, domain_model(docs, labels), p, tokens, unread), "posteriors")
     direction, met = fit_rates(rows, p, tokens, targets)
     rows = rows.withColumn(r, rate(F.col(p), direction)).withColumn(converged, F.lit(met))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) * F.lit(2.0**-53)
@@ -128,5 +132,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS)
 
 def rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens, a posterior for each domain, rate, copies and converged of every document."""
-    rows, (tokens, p, r, copies, converged) = mixed(docs.select("doc_id", "text"), labels, targets)
+    rows, (tokens, p, r, copies, converged) = mixed(docs.select("doc_id", "text"), labels, targets, ("text",))
     return rows.select("doc_id", F.col(tokens).cast("long").alias("n_tokens"), *[F.get(p, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col(r).alias("rate"), F.col(copies).alias("copies"), F.col(converged).alias("converged"))
