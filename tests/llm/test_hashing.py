@@ -130,3 +130,21 @@ def test_a_row_without_a_name_bridges_two_components(spark, monkeypatch):
     docs = spark.createDataFrame([(5, "0"), (None, "15"), (9, "255"), (None, str(255 << 20))], "doc_id long, text string")
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_components(docs).collect()}
     assert got == {(5, f"{0:016x}"): 5, (None, f"{15:016x}"): 5, (9, f"{255:016x}"): 5, (None, f"{255 << 20:016x}"): None}
+
+
+def test_a_round_of_components_is_one_query(spark, monkeypatch):
+    from verdigris.llm import simhash
+
+    rounds, keep = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name, **options: rounds.append(name) or keep(df, name, **options))
+    store = spark._jsparkSession.sharedState().statusStore()
+    for pairs in ([(i, i + 1) for i in range(9)] + [(20, 22)], []):
+        edges = spark.createDataFrame(pairs, "a long, b long")
+        rounds.clear()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        before = store.executionsCount()
+        found = simhash.components(edges)
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        assert store.executionsCount() - before == len(rounds)
+        want = {i: 0 for i in range(10)} | {20: 20, 22: 20} if pairs else {}
+        assert {r.node: r.component for r in found.collect()} == want
