@@ -113,6 +113,15 @@ def test_large_buckets_are_searched_in_blocks(spark):
     assert all(len(g) == 1 for g in group.values()) and len({next(iter(g)) for g in group.values()}) == len(group)
 
 
+def test_exploded_classes_are_not_broadcast(spark, tmp_path):
+    """A row for each covering table comes from a class; Spark still takes them for as small as the classes' table."""
+    from verdigris.llm.simhash import links
+
+    spark.range(2000).select(F.xxhash64("id").alias("fingerprint")).write.parquet(f"{tmp_path}/classes")
+    plan = links(spark.read.parquet(f"{tmp_path}/classes"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and "Broadcast" not in plan
+
+
 def test_components_follow_a_long_chain(spark):
     from verdigris.llm.simhash import components
 

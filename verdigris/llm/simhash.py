@@ -109,7 +109,8 @@ def links(classes: DataFrame, radius: int = 4, block: int = 2048, seed: int = 7)
     masks = F.array(*[F.lit(signed(m)) for m in covering_masks(radius, seed=seed)])
     rows = classes.select("fingerprint", F.posexplode(masks).alias("tab", "mask")).select("fingerprint", "tab", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("masked"))
     sizes = rows.groupBy("tab", "masked").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = rows.join(sizes, ["tab", "masked"]).withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    # Spark takes the exploded rows for a table as small as that of the classes, and would broadcast them
+    rows = rows.join(sizes.hint("merge"), ["tab", "masked"]).withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     mine = F.pmod(F.xxhash64("fingerprint", "tab"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
