@@ -127,3 +127,17 @@ def test_a_step_joins_twice(spark, monkeypatch):
     rows = spark.range(400).select(F.lit("de").alias("lang"), F.lit("s").alias("source"), *[F.randn(i).alias(c) for i, c in enumerate(quality.STATISTICS)])
     quality.least_determinants(rows.localCheckpoint(), ["lang", "source"], [1e-9] * 3)
     assert len(plans) > 2 and all(p.count("Join Inner") == 2 for p in plans[1:])
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_rows_are_never_broadcast(spark, monkeypatch, few):
+    """Exploded by level and start, they are more than the small table that Spark takes them for."""
+    from verdigris.llm import quality
+
+    plans, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    monkeypatch.setattr(quality, "FEW_GROUPS", few)
+    rows = spark.range(400).select(F.lit("de").alias("lang"), F.lit("s").alias("source"), *[F.randn(i).alias(c) for i, c in enumerate(quality.STATISTICS)])
+    (r,) = quality.covariance_estimates(rows).collect()
+    built = Counter(re.findall(r"Build(?:Left|Right)|SortMergeJoin", "".join(plans)))
+    assert set(built) == ({"BuildRight"} if few else {"SortMergeJoin"}) and abs(r.m_z_word) < 0.3

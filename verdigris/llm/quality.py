@@ -25,6 +25,8 @@ CUTOFF = 100.0
 PRIOR = 10 * len(STATISTICS)
 #: Share of a statistic's variance over all vectors that is added to singular scatters: it keeps the arithmetic defined.
 RELATIVE_FLOOR = 1e-6
+#: Pairs of language and source up to which their estimates are broadcast to the rows (16 MB); more are sorted with them.
+FEW_GROUPS = 10_000
 
 
 def chi_squared(d: int, x: float) -> float:
@@ -124,19 +126,19 @@ def moments(rows: DataFrame, group: list[str], scale: float, floor: list[float],
     return with_factor(out.withColumns(central))
 
 
-def least_determinants(rows: DataFrame, group: list[str], floor: list[float], subset: float = SUBSET) -> DataFrame:
+def least_determinants(rows: DataFrame, group: list[str], floor: list[float], subset: float = SUBSET, hint: str = "merge") -> DataFrame:
     """Minimum-covariance-determinant estimate of each ``group`` of ``rows``: location, scatter and its factor.
 
     From two starts, medians with deviations from them and means with the whole scatter, groups concentrate: the
     ``subset`` of rows nearest under the present estimate give the next. A step that lowers the determinant is taken,
     until none does in any group (each takes finitely many); the start with the lesser determinant counts. All groups and
-    starts take a step in one job, and what reaches the driver is how many moved.
+    starts take a step in one job, and what reaches the driver is how many moved. ``hint``: of ``same_group``.
     """
     tried = [*group, "start"]
     rows = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     first, scale = rows.filter("start = 0"), core(len(STATISTICS), subset)[1]
     centre = first.groupBy(*tried).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in STATISTICS])
-    spread = same_group(first, centre, tried).groupBy(*tried).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in STATISTICS])
+    spread = same_group(first, centre, tried, hint).groupBy(*tried).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in PLACE], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in STATISTICS])
     scatter = {f"c_{i}_{j}": F.pow(F.col(f"d_{STATISTICS[i]}") * 1.4826, 2) + floor[i] if i == j else F.lit(0.0) for i, j in pairs()}
     medians = with_factor(spread.withColumns(scatter))
     means = moments(rows.filter("start = 1"), tried, 1.0, floor)
@@ -149,9 +151,9 @@ def least_determinants(rows: DataFrame, group: list[str], floor: list[float], su
     carried = [F.first(c).alias(c) for c in was.values()]
     while True:
         old = now.withColumnsRenamed(was).withColumns({c: F.col(was[c]) for c in kept if c not in ("n", "det")})
-        cut = same_group(rows, old, tried).groupBy(*tried).agg(F.percentile_approx(distance(), subset, 10_000).alias("cut"), *carried)
+        cut = same_group(rows, old, tried, hint).groupBy(*tried).agg(F.percentile_approx(distance(), subset, 10_000).alias("cut"), *carried)
         cut = cut.withColumns({c: F.col(was[c]) for c in kept if c not in ("n", "det")})
-        near = same_group(rows, cut, tried).filter(distance() <= F.col("cut")).select(*tried, *STATISTICS, *was.values())
+        near = same_group(rows, cut, tried, hint).filter(distance() <= F.col("cut")).select(*tried, *STATISTICS, *was.values())
         found = moments(near, tried, scale, floor, carried).withColumn("moved", F.col("det") < F.col("was_det") - 1e-9)
         seen = Observation()
         step = found.select(*tried, *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(was[c])).alias(c) for c in kept], "moved")
@@ -170,27 +172,28 @@ def covariance_estimates(rows: DataFrame) -> DataFrame:
     of it. A source's scatter is the average of its own and, with the weight of ``PRIOR`` vectors, its language's.
     """
     vectors = materialize(rows.distinct(), "vectors")
-    whole = vectors.agg(*[F.var_pop(c).alias(c) for c in STATISTICS]).first()
+    whole = vectors.agg(F.approx_count_distinct(F.struct("lang", "source")).alias("groups"), *[F.var_pop(c).alias(c) for c in STATISTICS]).first()
+    hint = "broadcast" if whole["groups"] <= FEW_GROUPS else "merge"
     floor = [RELATIVE_FLOOR * (whole[c] or 0.0) + 1e-18 for c in STATISTICS]
     levels = vectors.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("source", F.when(F.col("level") == 0, F.col("source")))
     group = ["level", "lang", "source"]
     bound, scale = core(len(STATISTICS), INNER)
-    near = same_group(levels, least_determinants(levels, group, floor).drop("n"), group).filter(distance() <= bound).select(*group, *STATISTICS)
+    near = same_group(levels, least_determinants(levels, group, floor, hint=hint).drop("n"), group, hint).filter(distance() <= bound).select(*group, *STATISTICS)
     found = materialize(moments(near, group, scale, floor), "estimates")
     own = found.filter("level = 0").select("lang", "source", "n", *PLACE, *SCATTER)
     of_lang = found.filter("level = 1").select("lang", *[F.col(c).alias(f"lang_{c}") for c in SCATTER])
-    both = same_group(own, of_lang, ["lang"])
+    both = same_group(own, of_lang, ["lang"], hint)
     both = both.withColumns({c: (F.col("n") * F.col(c) + PRIOR * F.col(f"lang_{c}")) / (F.col("n") + PRIOR) for c in SCATTER})
     return with_factor(both.select("lang", "source", *PLACE, *SCATTER)).drop(*SCATTER, "det")
 
 
-def same_group(rows: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
-    """``rows`` with the columns of their group; null names are names. The planner broadcasts ``groups`` where its
-    measured size is under the session's threshold, and splits skewed keys of a sort-merge join otherwise."""
+def same_group(rows: DataFrame, groups: DataFrame, group: list[str], hint: str) -> DataFrame:
+    """``rows`` with the columns of their group; null names are names. ``hint`` says how ``groups`` is joined: left to
+    itself, Spark takes rows exploded by level and start for as small as the vectors' table, and would broadcast these."""
     taken = {g: f"_of_{g}" for g in group}
     side = groups.withColumnsRenamed(taken)
     on = [F.col(g).eqNullSafe(F.col(taken[g])) for g in group]
-    return rows.join(side, on).drop(*taken.values())
+    return rows.join(side.hint(hint), on).drop(*taken.values())
 
 
 def quality(docs: DataFrame) -> DataFrame:
