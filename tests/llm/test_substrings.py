@@ -61,6 +61,25 @@ def test_large_buckets_are_dealt_on_by_windows(spark, monkeypatch):
     assert max(sizes) <= 2000 and windowed[0] > 0
 
 
+def test_seeds_are_counted_in_packed_rows(spark, monkeypatch):
+    """Nearly all seeds are different, and each was a row of a shuffle of its own."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+    from verdigris.llm import substrings
+
+    monkeypatch.setattr(substrings, "SORTED", 300)
+    monkeypatch.setattr(substrings, "CELL_BITS", 3)
+    texts = [r[1].encode() for r in cases.rows(20) if r[1]]
+    want = Counter(int(x) for cut in substrings.cuts(texts) for x in cut.seed)
+    got = substrings.shared_seeds(spark.createDataFrame([(t,) for t in texts], "raw binary").repartition(3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {r.bucket: r.n for r in got.collect()} == {k: n for k, n in want.items() if n > 1} and len(want) > 2000
+    assert "counts" in plan and "Aggregate" not in plan
+    none = spark.createDataFrame([(b"",), (b"x" * 49,)], "raw binary")
+    assert substrings.shared_seeds(none).collect() == [] and substrings.shared_seeds(none.filter(F.lit(False))).collect() == []
+
+
 def test_pieces_of_long_texts_hold_every_window_once(monkeypatch):
     from verdigris.llm import substrings
 

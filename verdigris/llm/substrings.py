@@ -19,6 +19,10 @@ MATCH, SEED = 50, 24
 #: Bytes of segments that are indexed at once; buckets with more different ones are dealt on. Windows of a segment, and
 #: bytes of text that are cut at once. Segments of a bucket from which on equal ones are combined before the shuffle.
 BATCH, MOST_WINDOWS, PIECE, HEAVY = 500_000, 256, 1 << 18, 100
+#: Low bits of the seeds that are counted together, and seeds that a task sorts at once.
+CELL_BITS, SORTED = 12, 1 << 20
+#: Windows whose seeds are found at once, so that all steps' numbers stay in a core's cache.
+CACHED = 1 << 15
 LAST = (1 << 63) - 1  # stands for no doc_id: such documents come after all others
 
 
@@ -26,18 +30,26 @@ def mixed(text: np.ndarray, sizes: tuple[int, ...], salt: int = 0) -> np.ndarray
     """A hash of the string from each place on that ``1 + sum(sizes)`` bytes have, a doubling at a time."""
     h = text.astype(np.uint64) + np.uint64(1 + salt)
     for size in sizes:
-        h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(29)))
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+        x = h[size:] >> np.uint64(29)
+        x ^= h[size:]
+        h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size)
+        h += x
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def window_seeds(text: np.ndarray) -> np.ndarray:
     """The least hash of the ``SEED``-byte strings in each ``MATCH``-byte window; equal windows have equal ones."""
-    h, size = mixed(text, (1, 2, 4, 8, SEED - 16)), 1
-    while 2 * size <= MATCH - SEED + 1:
-        h, size = np.minimum(h[:-size], h[size:]), 2 * size
-    rest = MATCH - SEED + 1 - size
-    return np.minimum(h[: len(h) - rest], h[rest:])
+    out = np.empty(len(text) - MATCH + 1, np.uint64)
+    for low in range(0, len(out), CACHED):
+        h, size = mixed(text[low : low + CACHED + MATCH - 1], (1, 2, 4, 8, SEED - 16)), 1
+        while 2 * size <= MATCH - SEED + 1:
+            h, size = np.minimum(h[:-size], h[size:]), 2 * size
+        rest = MATCH - SEED + 1 - size
+        out[low : low + CACHED] = np.minimum(h[: len(h) - rest], h[rest:])
+    return out
 
 
 class Cut:
@@ -47,17 +59,19 @@ class Cut:
     def __init__(self, pieces: list[tuple[int, int, bytes]]):
         self.flat = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
         sizes = np.array([len(p) for _, _, p in pieces])
-        starts, counts = np.cumsum(sizes) - sizes, sizes - MATCH + 1
-        place = ranges(starts, counts)
-        piece = np.repeat(np.arange(len(pieces)), counts)
-        seeds = window_seeds(self.flat)[place]
-        within = place - starts[piece]
-        new = np.concatenate(([True], (seeds[1:] != seeds[:-1]) | (piece[1:] != piece[:-1]) | (within[1:] % MOST_WINDOWS == 0)))
+        starts = np.cumsum(sizes) - sizes
+        ends = starts + sizes - MATCH + 1
+        seeds = window_seeds(self.flat)
+        new = np.concatenate(([True], seeds[1:] != seeds[:-1]))
+        for low, high in zip(starts.tolist(), ends.tolist()):
+            new[low:high:MOST_WINDOWS] = True
+            new[high : high + MATCH - 1] = False  # these would go on into the next text
         head = np.flatnonzero(new)
-        self.windows = np.diff(np.append(head, len(place)))
-        self.start, self.seed = place[head], seeds[head].view(np.int64)
-        self.owner = np.array([o for o, _, _ in pieces])[piece[head]]
-        self.at = within[head] + np.array([a for _, a, _ in pieces])[piece[head]]
+        piece = np.searchsorted(starts, head, "right") - 1
+        self.windows = np.minimum(np.append(head[1:], len(new)), ends[piece]) - head
+        self.start, self.seed = head, seeds[head].view(np.int64)
+        self.owner = np.array([o for o, _, _ in pieces])[piece]
+        self.at = head - starts[piece] + np.array([a for _, a, _ in pieces])[piece]
 
 
 def cuts(texts: list[bytes]) -> Iterator[Cut]:
@@ -80,16 +94,55 @@ def binaries(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat[ranges(starts, sizes)]))])
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """(bucket): the seed of every segment of all whole texts."""
+def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """``values`` from each of ``edges`` to the next, as strings of their bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def shared_seeds(docs: DataFrame) -> DataFrame:
+    """(bucket, n): the seeds that ``n``, over one, segments of all whole texts have.
+
+    A task sorts its seeds with the low bits first, counts the different ones and sends those of a cell, which has the
+    same ``CELL_BITS`` low bits, as one row: nearly all are different, and a row for each would cost several times more.
+    """
+    rest = np.uint64(64 - CELL_BITS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            seed = np.concatenate(held).view(np.uint64)
+            key = np.sort(seed << rest | seed >> np.uint64(CELL_BITS))
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            key, n = key[head], np.diff(np.append(head, len(key))).astype(np.int32)
+            cell = (key >> rest).view(np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
+            return pa.RecordBatch.from_arrays([pa.array(cell[edges[:-1]]), packed(n, edges), packed(key, edges)], names=["cell", "counts", "keys"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 0):
                 for cut in cuts(batch.column(0).to_pylist()):
-                    yield pa.RecordBatch.from_arrays([pa.array(cut.seed)], names=["bucket"])
-
-    return docs.select("raw").mapInArrow(run, "bucket long")
+                    held.append(cut.seed)
+                    size += len(cut.seed)
+                    if size >= SORTED:
+                        yield rows()
+                        held, size = [], 0
+        if held:
+            yield rows()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches, 8 * SORTED):
+            n, key = (bytes_of(rows.column(c).combine_chunks())[0].view(kind) for c, kind in (("counts", np.int32), ("keys", np.uint64)))
+            order = np.argsort(key)
+            key = key[order]
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.add.reduceat(n[order].astype(np.int64), head)
+            key = key[head[n > 1]]
+            yield pa.RecordBatch.from_arrays([pa.array((key << np.uint64(CELL_BITS) | key >> rest).view(np.int64)), pa.array(n[n > 1])], names=["bucket", "n"])
+
+    rows = docs.select("raw").mapInArrow(deal, "cell long, counts binary, keys binary")
+    rows = rows.repartition(parallelism(docs.sparkSession), "cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(count, "bucket long, n long")
 
 
 def has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -312,7 +365,7 @@ def repeat_spans(reps: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     more than a batch, windows are compared one by one.
     """
     spark = reps.sparkSession
-    shared = materialize(seeds(reps).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seeds")
+    shared = materialize(shared_seeds(reps), "seeds")
     heavy = shared.filter(F.col("n") > min(HEAVY, batch_bytes // (MOST_WINDOWS + MATCH))).select("bucket")
     words, heavy_words = (spark.sparkContext.broadcast(bit_filter(x, "bucket")) for x in (shared, heavy))
     light = materialize(light_spans(segments(reps, words, heavy_words, False), batch_bytes), "light")
