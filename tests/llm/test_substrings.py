@@ -156,3 +156,68 @@ def test_buckets_are_read_as_columns():
             assert all(isinstance(x, pa.Table) for x in got)
             assert [[*zip(x["bucket"].to_pylist(), x["s"].to_pylist())] for x in got] == want
     assert list(whole_buckets(iter([]), 10)) == []
+
+
+def test_parts_have_filters_of_their_own(spark, monkeypatch):
+    """A filter for all texts lets nearly all segments through once it is full; a part's holds only its own seeds."""
+    from verdigris.llm import common, substrings
+
+    data = [(i, cases.prose(600 + i, 90) + cases.prose(i // 2, 30) + cases.prose(900 + i, 90), "en", "s", 1) for i in range(160)]
+    monkeypatch.setattr(common, "LEAST_BITS", 10)
+    monkeypatch.setattr(common, "MOST_BITS", 10)
+    monkeypatch.setattr(substrings, "PART", sum(len(r[1].encode()) for r in data) // 12, raising=False)
+    spans, dealt = substrings.light_spans, []
+
+    def watched(cut, batch_bytes):
+        dealt.append(cut.count())
+        return spans(cut, batch_bytes)
+
+    monkeypatch.setattr(substrings, "light_spans", watched)
+    got = substrings.without_repeats(cases.table(spark, data).repartition(24)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == slow(data)
+    every = sum(len(cut.seed) for cut in substrings.cuts([r[1].encode() for r in data]))
+    assert dealt[0] < 0.4 * every, (dealt, every)
+
+
+def test_seeds_name_the_parts_that_have_them(spark):
+    """``n`` counts all parts, and a part without the seed is not named."""
+    from collections import defaultdict
+
+    from verdigris.llm import substrings
+
+    texts = [(k % 3, r[1].encode()) for k, r in enumerate(cases.rows(20)) if r[1]]
+    n, parts = defaultdict(int), defaultdict(set)
+    for part, text in texts:
+        for cut in substrings.cuts([text]):
+            for x in cut.seed.tolist():
+                n[x] += 1
+                parts[x].add(part)
+    got = substrings.shared_seeds(spark.createDataFrame(texts, "part int, raw binary").repartition(2)).collect()
+    assert sorted((r.part, r.bucket, r.n) for r in got) == sorted((p, x, n[x]) for x in n if n[x] > 1 for p in parts[x])
+
+
+def test_segments_without_a_shared_window_are_not_indexed(monkeypatch):
+    """Only segments that may match are indexed and streamed, whole buckets at a time; results equal brute force."""
+    import numpy as np
+    from verdigris.llm import substrings
+
+    rng, segs = random.Random(9), []
+    for b in range(60):
+        seed = bytes(rng.choice(b"abcd") for _ in range(24))
+        for d in range(rng.randint(1, 6)):
+            side = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(26, 60))) for _ in range(2)]
+            if segs and segs[-1][0] == b and b % 5 == 0:
+                side = [segs[-1][3][0][-30:], segs[-1][3][1][:30]] if rng.random() < 0.6 else side
+            segs.append((b, d, side[0] + seed + side[1], side))
+    flat = np.frombuffer(b"".join(s[2] for s in segs), np.uint8)
+    sizes = np.array([len(s[2]) for s in segs])
+    starts, bucket, first = np.cumsum(sizes) - sizes, np.array([s[0] for s in segs]), np.array([s[1] for s in segs])
+    want = [any(s[2][i : i + 50] in o[2] for o in segs if o[0] == s[0] and o[1] < s[1]) if i + 50 <= len(s[2]) else False for s in segs for i in range(len(s[2]))]
+    indexed, index = [], substrings.RunIndex
+    monkeypatch.setattr(substrings, "RunIndex", lambda text, group: indexed.append(len(text)) or index(text, group))
+    assert substrings.earlier_matches(flat, starts, sizes, bucket, first).tolist() == want and any(want)
+    assert sum(indexed) < len(flat) // 3
+    monkeypatch.setattr(substrings, "BATCH", 300)
+    del indexed[:]
+    assert substrings.earlier_matches(flat, starts, sizes, bucket, first).tolist() == want and len(indexed) > 3
+    assert not substrings.earlier_matches(flat[: sizes[0]], starts[:1], sizes[:1], bucket[:1], first[:1]).any()

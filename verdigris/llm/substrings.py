@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, mark_maybe, materialize, parallelism, two_hashes
+from .common import bit_filter, bit_filters, mark_maybe, materialize, parallelism, two_hashes
 from .runindex import PLACE_BITS, SEPARATOR, RunIndex, ranges
 from .tokens import pieces
 
@@ -19,10 +20,14 @@ MATCH, SEED = 50, 24
 #: Bytes of segments that are indexed at once; buckets with more different ones are dealt on. Windows of a segment, and
 #: bytes of text that are cut at once. Segments of a bucket from which on equal ones are combined before the shuffle.
 BATCH, MOST_WINDOWS, PIECE, HEAVY = 500_000, 256, 1 << 18, 100
+#: Batches of light buckets that are read at once.
+READ = 4
 #: Low bits of the seeds that are counted together, and seeds that a task sorts at once.
 CELL_BITS, SORTED = 12, 1 << 20
 #: Windows whose seeds are found at once, so that all steps' numbers stay in a core's cache.
 CACHED = 1 << 15
+#: Bytes of the texts that share a filter of seeds; a filter for all would let nearly all segments through at some size.
+PART = 1 << 29
 LAST = (1 << 63) - 1  # stands for no doc_id: such documents come after all others
 
 
@@ -99,16 +104,25 @@ def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
+def of_one_part(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """``batch`` cut where the part, its second column, changes."""
+    part = batch.column(1).to_numpy()
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return [batch.slice(low, high - low) for low, high in zip(edges, edges[1:]) if high > low]
+
+
 def shared_seeds(docs: DataFrame) -> DataFrame:
-    """(bucket, n): the seeds that ``n``, over one, segments of all whole texts have.
+    """(bucket, n): the seeds that ``n``, over one, segments of all whole texts have. If ``docs`` has ``part``, also
+    (part): a row for each part with texts that have the seed; ``n`` counts all parts.
 
     A task sorts its seeds with the low bits first, counts the different ones and sends those of a cell, which has the
     same ``CELL_BITS`` low bits, as one row: nearly all are different, and a row for each would cost several times more.
     """
     rest = np.uint64(64 - CELL_BITS)
+    by_part = "part" in docs.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, part = [], 0, 0
 
         def rows() -> pa.RecordBatch:
             seed = np.concatenate(held).view(np.uint64)
@@ -117,9 +131,15 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
             key, n = key[head], np.diff(np.append(head, len(key))).astype(np.int32)
             cell = (key >> rest).view(np.int64)
             edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
-            return pa.RecordBatch.from_arrays([pa.array(cell[edges[:-1]]), packed(n, edges), packed(key, edges)], names=["cell", "counts", "keys"])
+            own = pa.array(np.full(len(edges) - 1, part, np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(cell[edges[:-1]]), own, packed(n, edges), packed(key, edges)], names=["cell", "part", "counts", "keys"])
 
-        for whole in batches:
+        for whole in (one for batch in batches for one in (of_one_part(batch) if by_part else [batch])):
+            now = whole.column(1)[0].as_py() if by_part and whole.num_rows else part
+            if held and now != part:
+                yield rows()
+                held, size = [], 0
+            part = now
             for batch in pieces(whole, 0):
                 for cut in cuts(batch.column(0).to_pylist()):
                     held.append(cut.seed)
@@ -133,16 +153,21 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_buckets(batches, 8 * SORTED):
             n, key = (bytes_of(rows.column(c).combine_chunks())[0].view(kind) for c, kind in (("counts", np.int32), ("keys", np.uint64)))
-            order = np.argsort(key)
-            key = key[order]
-            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            n = np.add.reduceat(n[order].astype(np.int64), head)
-            key = key[head[n > 1]]
-            yield pa.RecordBatch.from_arrays([pa.array((key << np.uint64(CELL_BITS) | key >> rest).view(np.int64)), pa.array(n[n > 1])], names=["bucket", "n"])
-
-    rows = docs.select("raw").mapInArrow(deal, "cell long, counts binary, keys binary")
-    rows = rows.repartition(parallelism(docs.sparkSession), "cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(count, "bucket long, n long")
+            part = np.repeat(rows.column("part").to_numpy(), pc.binary_length(rows.column("keys")).to_numpy() // key.itemsize)
+            order = np.argsort(key, kind="stable")  # a cell's rows come by part
+            key, part = key[order], part[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            head = np.flatnonzero(new)
+            n = np.add.reduceat(n[order].astype(np.int64), head)[np.cumsum(new) - 1]
+            use = np.flatnonzero((new | np.concatenate(([True], part[1:] != part[:-1]))) & (n > 1))
+            key = key[use]
+            bucket = pa.array((key << np.uint64(CELL_BITS) | key >> rest).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*([pa.array(part[use])] if by_part else []), bucket, pa.array(n[use])], names=[*own, "bucket", "n"])
+
+    own = ["part"] if by_part else []
+    rows = docs.select("raw", *own).mapInArrow(deal, "cell long, part int, counts binary, keys binary")
+    rows = rows.repartition(parallelism(docs.sparkSession), "cell").sortWithinPartitions("cell", "part")
+    return rows.mapInArrow(count, ", ".join([*(f"{c} int" for c in own), "bucket long, n long"]))
 
 
 def has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -151,10 +176,15 @@ def has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def segments(docs: DataFrame, words, heavy_words, heavy: bool) -> DataFrame:
-    """(bucket, doc_id, t, at, s): the segments whose seeds may be shared, as the broadcast filter ``words`` says, and
-    may be (``heavy``) or are not (else) in ``heavy_words``; each has all bytes of its windows, so segments overlap."""
+def segments(docs: DataFrame, words: list, heavy_words, heavy: bool) -> DataFrame:
+    """(bucket, doc_id, t, at, s): the segments whose seeds may be shared, as the broadcast filter in ``words`` of their
+    ``part`` says, and may be (``heavy``) or are not (else) in ``heavy_words``; each has all bytes of its windows, so
+    segments overlap."""
+    found = [part_segments(docs.filter(F.col("part") == k), own, heavy_words, heavy) for k, own in enumerate(words)]
+    return reduce(DataFrame.union, found)
+
 
+def part_segments(docs: DataFrame, words, heavy_words, heavy: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in pieces(whole, 2)):
             name, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -166,9 +196,44 @@ def segments(docs: DataFrame, words, heavy_words, heavy: bool) -> DataFrame:
     return docs.select("doc_id", "t", "raw").mapInArrow(run, "bucket long, doc_id long, t long, at long, s binary")
 
 
+def matchable(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the segments with a window whose hash comes twice: all that share one, and few others. Segments of
+    a bucket have a seed in common, but mostly no whole window."""
+    counts = sizes - MATCH + 1
+    hashes = [mixed(flat[low : low + CACHED + MATCH - 1], (1, 2, 4, 8, 16, 16, 2)) for low in range(0, len(flat) - MATCH + 1, CACHED)]
+    x = np.concatenate(hashes)[ranges(starts, counts)]
+    order = np.sort(x)
+    again = order[1:][order[1:] == order[:-1]]
+    if not len(again):
+        return np.zeros(0, np.int64)
+    found = again[np.minimum(np.searchsorted(again, x), len(again) - 1)] == x
+    return np.flatnonzero(np.logical_or.reduceat(found, np.cumsum(counts) - counts))
+
+
 def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each place of the segments whether a match of ``MATCH`` bytes with one of its bucket that a smaller ``first``
-    holds starts there. Segments come in the order of (bucket, first).
+    holds starts there. Segments come in the order of (bucket, first). Those without a window that another may have are
+    neither indexed nor streamed."""
+    hit = np.zeros(len(flat), bool)
+    use = matchable(flat, starts, sizes)
+    if len(use):
+        own = bucket[use]
+        ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
+        # whole buckets, up to ``BATCH`` bytes and one bucket more
+        size = np.cumsum(sizes[use])[ends - 1]
+        low = 0
+        while low < len(use):
+            k = int(np.searchsorted(ends, low))
+            done = int(size[k]) if low else 0
+            high = int(ends[min(int(np.searchsorted(size, done + BATCH)), len(ends) - 1)])
+            part = use[low:high]
+            mark_matches(hit, flat, starts[part], sizes[part], bucket[part], first[part])
+            low = high
+    return hit
+
+
+def mark_matches(hit: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> None:
+    """Set ``hit`` at the places of ``earlier_matches``.
 
     The documents of a bucket are numbered, and split by each bit of the number in turn: those with a clear bit are
     indexed, and those with a set one and equal higher bits are streamed against the index. So each pair of documents
@@ -178,7 +243,7 @@ def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buc
     new_doc = new_bucket | np.concatenate(([True], first[1:] != first[:-1]))
     number = np.cumsum(new_doc)
     number -= number[np.maximum.accumulate(np.where(new_bucket, np.arange(len(bucket)), 0))]
-    own, hit = np.cumsum(new_bucket), np.zeros(len(flat), bool)
+    own = np.cumsum(new_bucket)
     held: list[tuple[np.ndarray, ...]] = []
 
     def search() -> None:
@@ -208,7 +273,6 @@ def earlier_matches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buc
         bit, groups, total = bit + 1, int(node[-1]) + 1, total + size
     if held:
         search()
-    return hit
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.Table]:
@@ -278,10 +342,11 @@ def bucket_order(rows: DataFrame) -> DataFrame:
 
 def light_spans(cut: DataFrame, batch_bytes: int) -> DataFrame:
     """(doc_id, t, a, b): the bytes from a to b of a document whose windows a smaller doc_id holds, by buckets that have
-    so few segments that each task holds whole ones. Equal segments of a bucket are indexed once."""
+    so few segments that each task holds whole ones. Equal segments of a bucket are indexed once, and most of the others
+    not at all, so ``READ`` times as much is read at once as is indexed: a search has as many steps, however few go in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches, batch_bytes):
+        for rows in whole_buckets(batches, READ * batch_bytes):
             bucket, name, t, at = longs(rows, "bucket", "doc_id", "t", "at")
             order = np.lexsort((name, bucket))
             # codes count up by first places; equal segments have equal seeds, so they are of one bucket
@@ -355,19 +420,31 @@ def wide_spans(cut: DataFrame) -> DataFrame:
     return windows.join(least, ["x", "y"]).filter("least < doc_id").select("doc_id", "t", "a", (F.col("a") + MATCH).alias("b"))
 
 
-def repeat_spans(reps: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
-    """(doc_id, t, a, b): bytes of the texts ``reps`` (doc_id, t, raw) that windows shared with a smaller doc_id cover.
+def in_parts(reps: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """``reps``, ``size`` bytes of texts, written with ``part``, and the number of parts: a task's rows are of one part, so
+    parts have about ``PART`` bytes each."""
+    n = max(1, -(-size // PART))
+    return materialize(reps.withColumn("part", F.spark_partition_id() % n), "texts", by="part"), n
+
+
+def repeat_spans(reps: DataFrame, size: int, batch_bytes: int = BATCH) -> DataFrame:
+    """(doc_id, t, a, b): bytes of the texts ``reps`` (doc_id, t, raw; about ``size`` bytes) that windows shared with a
+    smaller doc_id cover.
 
     Equal windows have equal seeds, so all holders of a window are in one bucket. Seeds of one segment in all texts
-    can't be shared, so their text is never shuffled. Buckets of few segments, which fit a batch, go to tasks as
+    can't be shared, so their text is hardly ever shuffled: each part of the texts has a filter of the shared seeds that
+    it has itself, so that as few others get through however many parts there are. Which buckets are heavy goes by one
+    filter for all, as all of a bucket must go one way. Buckets of few segments, which fit a batch, go to tasks as
     they are. In others equal segments are combined before they are shuffled: a passage with any number of copies is
     one row in its bucket, and only its first holder is streamed against earlier ones. If different segments alone are
     more than a batch, windows are compared one by one.
     """
     spark = reps.sparkSession
+    reps, parts = in_parts(reps, size)
     shared = materialize(shared_seeds(reps), "seeds")
-    heavy = shared.filter(F.col("n") > min(HEAVY, batch_bytes // (MOST_WINDOWS + MATCH))).select("bucket")
-    words, heavy_words = (spark.sparkContext.broadcast(bit_filter(x, "bucket")) for x in (shared, heavy))
+    heavy = shared.filter(F.col("n") > min(HEAVY, batch_bytes // (MOST_WINDOWS + MATCH))).select("bucket").distinct()
+    words = [spark.sparkContext.broadcast(x) for x in bit_filters(shared, "bucket", "part", parts)]
+    heavy_words = spark.sparkContext.broadcast(bit_filter(heavy, "bucket"))
     light = materialize(light_spans(segments(reps, words, heavy_words, False), batch_bytes), "light")
     if heavy.isEmpty():
         return light
@@ -398,7 +475,8 @@ def without_repeats(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
     names = ["doc_id", "name", "t", "raw", "copy"]
     every = joined.select(*names).union(rows.filter("not maybe").select("doc_id", "name", "t", "raw", F.lit(False)))
     reps = every.filter("not copy").select(F.col("name").alias("doc_id"), "t", "raw")
-    spans = repeat_spans(reps, batch_bytes).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spans = repeat_spans(reps, size, batch_bytes).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = materialize(spans.select(F.col("doc_id").alias("_of"), F.col("t").alias("_t"), "spans"), "spans")
     held = spans.select(F.xxhash64("_of", "_t").alias("x"))
     every = mark_maybe(every, F.xxhash64("name", "t"), held, "x", "maybe").withColumn("maybe", ~F.col("copy") & F.col("maybe"))
